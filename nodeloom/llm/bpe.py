@@ -307,19 +307,27 @@ def read_vocabulary(path: str) -> bytes:
 
 
 def encode_documents(docs: DataFrame, vocabulary: str, pattern: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id and ids (array<int>) for every row; null and empty texts have no ids. Other columns are not read."""
+    """doc_id, n_tokens, ids (array<int>) and lossless (whether the ids decode to the text) for every row.
+
+    Null and empty texts have no ids. Other columns are not read.
+    """
     shared = docs.sparkSession.sparkContext.broadcast(read_vocabulary(vocabulary))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(shared.value, pattern)
         for batch in batches:
-            for at in range(0, batch.num_rows, 512):
-                some = batch.slice(at, 512)
-                ids = pa.array([own.encode(x.as_py()) for x in some.column(1)], type=pa.list_(pa.int32()))
-                yield pa.record_batch([some.column(0), ids], names=["doc_id", "ids"])
+            for at in range(0, batch.num_rows, 256):
+                some = batch.slice(at, 256)
+                texts = [x or "" for x in some.column(1).to_pylist()]
+                found = [own.encode(x) for x in texts]
+                lossless = ["".join(own.decode_stream(ids)) == x for ids, x in zip(found, texts, strict=True)]
+                offsets = np.concatenate([[0], np.cumsum([len(x) for x in found])]).astype(np.int32)
+                flat = np.fromiter(itertools.chain.from_iterable(found), dtype=np.int32, count=int(offsets[-1]))
+                ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))
+                yield pa.record_batch([some.column(0), pa.array(np.diff(offsets).astype(np.int64)), ids, pa.array(lossless, pa.bool_())], names=["doc_id", "n_tokens", "ids", "lossless"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string")).mapInArrow(run, f"doc_id {kind}, ids array<int>")
+    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string")).mapInArrow(run, f"doc_id {kind}, n_tokens long, ids array<int>, lossless boolean")
 
 
 def decode_documents(encoded: DataFrame, vocabulary: str, pattern: str) -> DataFrame:
