@@ -263,7 +263,7 @@ def near_duplicates(
 
     @F.pandas_udf("double")
     def gap(a: pd.Series, b: pd.Series) -> pd.Series:
-        return pd.Series(np.linalg.norm(_vectors(a) - _vectors(b), axis=1) if len(a) else [], dtype=float)
+        return pd.Series([float(np.linalg.norm(np.frombuffer(x) - np.frombuffer(y))) for x, y in zip(a, b, strict=True)], dtype=float)
 
     pairs = left.join(right, "group").where("a <= b").withColumn("gap", gap("ca", "cb")).where(F.col("gap") <= reach + F.col("ra") + F.col("rb")).select("group", "a", "b")
     members = placed.join(parts.select("group", "pivot", "part", "part_id"), ["group", "pivot", "part"]).select("group", "part_id", "unit", "node", "copies")
