@@ -311,15 +311,15 @@ def transition_matrix(spark, sf):
 
 @query(
     f"""WITH q AS (SELECT *, row_number() OVER w - 1 AS p, coalesce(label <> lag(label) OVER w, false) AS c FROM (SELECT node, period, CASE WHEN label < 'f' THEN 'a' ELSE 'b' END AS label FROM {QLABELS} WHERE period > 3) WINDOW w AS (PARTITION BY node ORDER BY period)),
-    f AS (SELECT node, count(*) FILTER (c) AS changes, min(p) FILTER (c) AS at, count(*) AS n FROM q GROUP BY node)
-    SELECT node, changes, CASE WHEN changes = 0 THEN 'stable' WHEN changes = 1 AND n - at >= 2 THEN 'persistent shift' ELSE 'fluctuation' END AS trajectory FROM f"""
+    f AS (SELECT node, count(*) FILTER (c) AS changes, min(p) FILTER (c) AS turn, count(*) AS n FROM q GROUP BY node)
+    SELECT node, changes, CASE WHEN changes = 0 THEN 'stable' WHEN changes = 1 AND n - turn >= 2 THEN 'persistent shift' ELSE 'fluctuation' END AS trajectory FROM f"""
 )
 def trajectory_class(spark, sf):
     coarse = qlabels(spark, sf).where("period > 3").withColumn("label", F.when(F.col("label") < "f", "a").otherwise("b"))
     return dynamics.trajectories(coarse)
 
 
-@query(f"SELECT node, CAST(period // 4 AS BIGINT) AS year, label AS mode FROM (SELECT node, period // 4 AS period, label, count(*) AS n, max(period) AS last FROM {QLABELS} GROUP BY node, period // 4, label) QUALIFY row_number() OVER (PARTITION BY node, period ORDER BY n DESC, last DESC) = 1")
+@query(f"SELECT node, CAST(y AS BIGINT) AS year, label AS mode FROM (SELECT node, period // 4 AS y, label, count(*) AS n, max(period) AS last FROM {QLABELS} GROUP BY node, period // 4, label) QUALIFY row_number() OVER (PARTITION BY node, y ORDER BY n DESC, last DESC) = 1")
 def yearly_mode(spark, sf):
     return dynamics.mode_last(qlabels(spark, sf).withColumn("year", F.expr("period div 4")), ["node", "year"])
 
