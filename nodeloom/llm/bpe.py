@@ -253,18 +253,32 @@ class Memory(dict):
         return value
 
 
+def chunks(text: str) -> list[str] | None:
+    """A text cut at each blank and line feed; None if pattern matches might cross the cuts.
+
+    No match holds white space behind other characters, so a match crosses a cut only inside a run of white space.
+    Chunks but the first stand for a blank and themselves, those that begin with a line feed for themselves; the first
+    is marked by a null character in front. Texts with unprintable characters, so all other white space, are not cut.
+    """
+    flat = text.replace("\n", " \n")
+    if "  " in flat or "\n " in flat or flat[-1:].isspace() or not text.replace("\n", "").isprintable():
+        return None
+    out = ("\0" + flat).split(" ")
+    return out[1:] if out[0] == "\0" else out
+
+
+def spoken(chunk: str) -> str:
+    """The text that a chunk stands for."""
+    return chunk if chunk[0] == "\n" else chunk[1:] if chunk[0] == "\0" else " " + chunk
+
+
 class Codec:
     """Texts to ids and back. Ids of short matches and of chunks between blanks are remembered, within bounds."""
 
-    #: A chunk: blanks and the characters up to the next blank. Pattern matches never cross its borders as long as
-    #: blanks and line feeds are the only white space.
-    CHUNK = re.compile(r"[ \n]*[^ \n]+|[ \n]+")
-    OTHER_SPACE = re.compile(r"[^\S \n]|[\x1c-\x1f\x85]")
-
     def __init__(self, data: bytes, pattern: str):
         self.v = Vocabulary(data, pattern)
         self.t = Transducer(self.v)
-        self.chunks = Memory(self._matches)
+        self.chunks = Memory(lambda chunk: self._matches(spoken(chunk)))
         self.pieces = Memory(lambda piece: tuple(self.t.encode(piece.encode("utf-8", "surrogatepass"))))
 
     def _matches(self, text: str) -> tuple[int, ...]:
@@ -274,9 +288,8 @@ class Codec:
     def encode(self, text: str | None) -> list[int]:
         if not text:
             return []
-        if self.OTHER_SPACE.search(text):
-            return list(self._matches(text))
-        return list(itertools.chain.from_iterable(map(self.chunks.__getitem__, self.CHUNK.findall(text))))
+        cut = chunks(text)
+        return list(itertools.chain.from_iterable(map(self.chunks.__getitem__, cut)) if cut is not None else self._matches(text))
 
     def decode_bytes(self, ids: Iterable[int]) -> bytes:
         return b"".join(map(self.v.tokens.__getitem__, ids))

@@ -26,7 +26,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import Codec, Memory
+from .bpe import Memory, chunks, spoken
 from .common import discard, fresh_path, materialize, tidy_shuffles
 
 SCALE, LANES, STEPS, LOW = 20, 1024, 256, 1 << 31
@@ -128,28 +128,51 @@ class Rans:
 class LibraryTokenizer:
     """The tokenizers library on whole texts, remembering its result for each chunk between blanks."""
 
+    LINE = 198  # looked up below; the library's id of a single line feed
+
     def __init__(self, data: bytes):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_str(data.decode("utf-8"))
         self.library.encode_special_tokens = True
-        self.known = Memory(None, 300_000)
+        self.kind = np.uint16 if self.library.get_vocab_size() <= 1 << 16 else np.uint32
+        self.known = Memory(None, 600_000)
         # chunks stand for themselves only if the library splits at blanks by the byte-level pattern and adds nothing
         own = self.library.pre_tokenizer
         self.by_chunk = self.library.normalizer is None and type(own).__name__ == "ByteLevel" and not own.add_prefix_space
-
-    def _ask(self, texts: list[str]) -> list[bytes]:
-        return [np.array(e.ids, dtype=np.uint32).tobytes() for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+        line = self.library.encode("\n", add_special_tokens=False).ids
+        self.by_chunk &= len(line) == 1
+        self.LINE = line[0]
+
+    def _ask(self, texts: list[str]) -> list[np.ndarray]:
+        return [np.array(e.ids, dtype=self.kind) for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
+
+    def _ask_chunks(self, chunks: list[str]) -> list[bytes]:
+        """The ids of chunks, in one text: a line feed between two of them is a match, and an id, of its own.
+
+        That holds where a chunk begins with one blank or line feed at most and has none further on.
+        """
+        if not chunks:
+            return []
+        ids = self._ask(["\n".join(chunks)])[0]
+        lines = np.flatnonzero(ids == self.LINE)
+        begun = np.cumsum([c[0] == "\n" for c in chunks])
+        ends = lines[(np.arange(len(chunks) - 1) + begun[:-1])] if len(chunks) > 1 else lines[:0]
+        edges = [0, *(ends + 1).tolist(), len(ids) + 1]
+        return [ids[x : y - 1].tobytes() for x, y in zip(edges[:-1], edges[1:], strict=True)]
 
     def batch(self, texts: list[str]) -> list[np.ndarray]:
         """The ids of each text. What is not remembered is asked for in one call for all texts."""
-        chunked = [[x] if not self.by_chunk or Codec.OTHER_SPACE.search(x) else Codec.CHUNK.findall(x) for x in texts]
+        split = [chunks(x) if self.by_chunk else None for x in texts]
         known = self.known
-        fresh = list({c for chunks in chunked for c in chunks if c not in known and c not in known.old})
-        answers = dict(zip(fresh, self._ask(fresh), strict=True)) if fresh else {}
-        known.make = lambda chunk: answers[chunk] if chunk in answers else self._ask([chunk])[0]
-        return [np.frombuffer(b"".join(map(known.__getitem__, chunks)), dtype=np.uint32) for chunks in chunked]
+        distinct = set().union(*(x for x in split if x))
+        fresh = [c for c in distinct if c not in known and c not in known.old]
+        answers = dict(zip(fresh, self._ask_chunks([spoken(c) for c in fresh]), strict=True))
+        # an entry seen above may be forgotten before it is used
+        known.make = lambda c: answers[c] if c in answers else self._ask_chunks([spoken(c)])[0]
+        whole = iter(self._ask([x for x, c in zip(texts, split, strict=True) if c is None]))
+        return [next(whole) if c is None else np.frombuffer(b"".join(map(known.__getitem__, c)), dtype=self.kind) for c in split]
 
 
 _TOKENIZERS: dict[int, LibraryTokenizer] = {}
@@ -172,16 +195,15 @@ def _encode(docs: DataFrame, data: bytes, end_id: int, id_col: str, text_col: st
         doc_ids: list = []
         parts: list[np.ndarray] = []
         block = first = held = 0
-        tail = np.array([end_id], dtype=np.uint32)
+        tail = np.array([end_id], dtype=own.kind)
 
         def row() -> pa.RecordBatch:
             flat = np.concatenate([x for p in parts for x in (p, tail)])
-            narrow = flat.astype(np.uint16) if flat.max() < 1 << 16 else flat
             return pa.record_batch(
                 [
                     pa.array([part], pa.int32()), pa.array([block], pa.int64()), pa.array([first], pa.int64()), pa.array([len(flat)], pa.int64()),
                     pa.array([doc_ids], pa.list_(id_type)), pa.array([[len(p) + 1 for p in parts]], pa.list_(pa.int64())),
-                    pa.array([flat.itemsize if narrow is flat else 2], pa.int32()), pa.array([narrow.tobytes()], pa.binary()),
+                    pa.array([flat.itemsize], pa.int32()), pa.array([flat.tobytes()], pa.binary()),
                 ],
                 names=["part", "block", "first", "n", "doc_ids", "lengths", "width", "ids"],
             )
