@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 from .common import materialize
 from .components import connected_components
 
-THRESHOLD, CELL, PIVOTS, LEAF = 0.93, 2_000, 64, 24
+THRESHOLD, CELL, PIVOTS, LEAF = 0.93, 2_000, 16, 24
 #: Slack of the pruning bounds against rounding; exact cosines decide.
 SLACK = 1e-9
 
@@ -227,11 +227,11 @@ def near_duplicates(
     nodes = materialize(
         rows.where("group IS NOT NULL").groupBy("group", "unit").agg(F.min("row_no").alias("node"), F.count(F.lit(1)).alias("copies"), F.min("vec_id").alias("least_id")), "nodes"
     )
-    # up to PIVOTS pivots a group, the first by a hash of the vector; a group of one cell needs one
-    ranked = nodes.withColumn("h", F.xxhash64("unit")).groupBy("group").agg(F.count(F.lit(1)).alias("n"), F.min_by("unit", "h").alias("first"))
-    lanes = nodes.withColumn("lane", F.pmod(F.xxhash64("unit"), F.lit(PIVOTS))).groupBy("group", "lane").agg(F.min_by("unit", F.xxhash64("unit")).alias("unit"))
-    pivots = lanes.groupBy("group").agg(F.sort_array(F.collect_list("unit")).alias("pivots")).join(ranked.select("group", "n", "first"), "group")
-    pivots = pivots.select("group", "n", F.when(F.col("n") <= cell, F.array("first")).otherwise(F.col("pivots")).alias("pivots"))
+    # as many pivots as cells are needed, PIVOTS at most: each part meets all others of its group that bounds allow
+    sized = nodes.groupBy("group").agg(F.least(F.lit(PIVOTS), F.ceil(F.count(F.lit(1)) / cell)).alias("lanes"))
+    digest = F.xxhash64("unit")
+    lanes = nodes.join(sized, "group").groupBy("group", F.pmod(digest, F.col("lanes")).alias("lane")).agg(F.min_by("unit", digest).alias("unit"))
+    pivots = lanes.groupBy("group").agg(F.sort_array(F.collect_list("unit")).alias("pivots"))
 
     @F.pandas_udf("pivot int, away double")
     def deal(unit: pd.Series, pivots: pd.Series) -> pd.DataFrame:
