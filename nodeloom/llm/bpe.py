@@ -13,16 +13,16 @@ from __future__ import annotations
 import base64
 import hashlib
 import itertools
-import re
 from collections.abc import Iterable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-ROOT, STATES, MEMORY, LOOKAHEAD = 0, 250_000, 150_000, 256
+ROOT, STATES, PIECES, MEMORY, LOOKAHEAD = 0, 250_000, 150_000, 700_000, 256
 _FAR = 1 << 60
 
 
@@ -49,7 +49,6 @@ class Vocabulary:
         self.ranks = parse_ranks(data)
         self.pattern = regex.compile(pattern)
         self.tokens: dict[int, bytes] = {i: b for b, i in self.ranks.items()}
-        self.text = {i: str(i) for i in self.tokens}
         self.left: dict[int, int] = {}
         self.right: dict[int, int] = {}
         self.trie: dict[int, int] = {}
@@ -235,9 +234,9 @@ class Utf8:
 
 
 class Memory(dict):
-    """A bounded memo in two generations: what was not used while MEMORY new entries came is forgotten."""
+    """A bounded memo in two generations: what was not used while `limit` new entries came is forgotten."""
 
-    def __init__(self, make, limit: int = MEMORY):
+    def __init__(self, make, limit: int):
         super().__init__()
         self.make, self.limit, self.old = make, limit, {}
 
@@ -253,18 +252,17 @@ class Memory(dict):
         return value
 
 
-def chunks(text: str) -> list[str] | None:
-    """A text cut at each blank and line feed; None if pattern matches might cross the cuts.
+def flat(text: str) -> str | None:
+    """A text whose parts between blanks are chunks; None if pattern matches might cross the cuts.
 
     No match holds white space behind other characters, so a match crosses a cut only inside a run of white space.
     Chunks but the first stand for a blank and themselves, those that begin with a line feed for themselves; the first
     is marked by a null character in front. Texts with unprintable characters, so all other white space, are not cut.
     """
-    flat = text.replace("\n", " \n")
-    if "  " in flat or "\n " in flat or flat[-1:].isspace() or not text.replace("\n", "").isprintable():
+    out = text.replace("\n", " \n")
+    if "  " in out or "\n " in out or out[-1:].isspace() or not text.replace("\n", "").isprintable():
         return None
-    out = ("\0" + flat).split(" ")
-    return out[1:] if out[0] == "\0" else out
+    return "\0" + out
 
 
 def spoken(chunk: str) -> str:
@@ -272,31 +270,123 @@ def spoken(chunk: str) -> str:
     return chunk if chunk[0] == "\n" else chunk[1:] if chunk[0] == "\0" else " " + chunk
 
 
+class ChunkTable:
+    """The ids of texts by way of their chunks, which are numbered by Arrow and remembered.
+
+    Ids of all remembered chunks lie in one buffer; those of a batch of texts are gathered from it. `ask_chunks` gives
+    the ids of chunk texts end to end, with the number of each; `ask_texts` those of texts that are not cut. When more
+    than `most` chunks are known, all are forgotten.
+    """
+
+    def __init__(self, ask_chunks, ask_texts, kind, most: int = MEMORY):
+        self.ask_chunks, self.ask_texts, self.kind, self.most = ask_chunks, ask_texts, kind, most
+        self._forget()
+
+    def _forget(self) -> None:
+        self.known: dict[str, int] = {"\0": 0}  # a text that begins with a blank: nothing comes before it
+        self.start, self.size = np.zeros(1024, dtype=np.int64), np.zeros(1024, dtype=np.int32)
+        self.buffer, self.used = np.zeros(8192, dtype=self.kind), 0
+
+    def _learn(self, new: list[str]) -> None:
+        if not new:
+            return
+        ids, sizes = self.ask_chunks([spoken(c) for c in new])
+        first, count = len(self.known), len(new)
+        if first + count > len(self.start):
+            more = max(first + count, 2 * len(self.start)) - len(self.start)
+            self.start, self.size = np.pad(self.start, (0, more)), np.pad(self.size, (0, more))
+        if self.used + len(ids) > len(self.buffer):
+            self.buffer = np.pad(self.buffer, (0, max(len(ids), len(self.buffer))))
+        self.buffer[self.used : self.used + len(ids)] = ids
+        self.start[first : first + count] = np.cumsum(sizes) - sizes + self.used
+        self.size[first : first + count] = sizes
+        self.used += len(ids)
+        self.known.update(zip(new, range(first, first + count), strict=True))
+
+    def batch(self, texts: list[str], cut: bool = True) -> list[np.ndarray]:
+        flats = [flat(x) if cut else None for x in texts]
+        whole = iter(self.ask_texts([x for x, c in zip(texts, flats, strict=True) if c is None]))
+        if len(self.known) > self.most:
+            self._forget()
+        lists = pc.split_pattern(pa.array([c for c in flats if c is not None], pa.string()), " ")
+        numbered = lists.flatten().dictionary_encode()
+        distinct = numbered.dictionary.to_pylist()
+        known = self.known
+        self._learn([c for c in distinct if c not in known])
+        entry = np.fromiter(map(known.__getitem__, distinct), dtype=np.int64, count=len(distinct))[numbered.indices.to_numpy()]
+        size = self.size[entry]
+        ends = np.cumsum(size, dtype=np.int64)
+        total = int(ends[-1]) if len(ends) else 0
+        ids = self.buffer[np.repeat(self.start[entry] - (ends - size), size) + np.arange(total)]
+        borders = np.append(0, ends)[lists.offsets.to_numpy() - lists.offsets[0].as_py()] if len(lists) else np.zeros(1, np.int64)
+        found = iter([ids[a:b] for a, b in zip(borders[:-1].tolist(), borders[1:].tolist(), strict=True)])
+        return [next(whole) if c is None else next(found) for c in flats]
+
+
+def slices(batch: pa.RecordBatch, column: int = 1, rows: int = 2048, size: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+    """Runs of rows with about `size` bytes of text at most."""
+    lengths = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
+    at, held = 0, 0
+    for i, n in enumerate(lengths.tolist()):
+        if i > at and (held + n > size or i - at >= rows):
+            yield batch.slice(at, i - at)
+            at, held = i, 0
+        held += n
+    yield batch.slice(at)
+
+
 class Codec:
     """Texts to ids and back. Ids of short matches and of chunks between blanks are remembered, within bounds."""
 
     def __init__(self, data: bytes, pattern: str):
         self.v = Vocabulary(data, pattern)
         self.t = Transducer(self.v)
-        self.chunks = Memory(lambda chunk: self._matches(spoken(chunk)))
-        self.pieces = Memory(lambda piece: tuple(self.t.encode(piece.encode("utf-8", "surrogatepass"))))
+        self.pieces = Memory(lambda piece: tuple(self.t.encode(piece.encode("utf-8", "surrogatepass"))), PIECES)
+        self.kind = np.uint16 if max(self.v.tokens, default=0) < 1 << 16 else np.uint32
+        self.table = ChunkTable(self._chunks, lambda texts: [np.array(self._matches(x), dtype=self.kind) for x in texts], self.kind)
+        top = max(self.v.tokens, default=-1) + 1
+        self.numerals = pa.array([b"%d " % i for i in range(top)], pa.large_binary())
+        self.bytes_of = pa.array([self.v.tokens.get(i, b"") for i in range(top)], pa.large_binary())
 
     def _matches(self, text: str) -> tuple[int, ...]:
         found = self.v.pattern.findall(text)
         return self.pieces[found[0]] if len(found) == 1 else tuple(itertools.chain.from_iterable(map(self.pieces.__getitem__, found)))
 
+    def _chunks(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        found = list(map(self._matches, texts))
+        sizes = np.fromiter(map(len, found), dtype=np.int32, count=len(found))
+        return np.fromiter(itertools.chain.from_iterable(found), dtype=self.kind, count=int(sizes.sum())), sizes
+
+    def encode_batch(self, texts: list[str]) -> list[np.ndarray]:
+        return self.table.batch(texts)
+
     def encode(self, text: str | None) -> list[int]:
-        if not text:
-            return []
-        cut = chunks(text)
-        return list(itertools.chain.from_iterable(map(self.chunks.__getitem__, cut)) if cut is not None else self._matches(text))
+        return self.encode_batch([text or ""])[0].tolist()
 
-    def decode_bytes(self, ids: Iterable[int]) -> bytes:
-        return b"".join(map(self.v.tokens.__getitem__, ids))
+    @staticmethod
+    def _joined(parts: pa.Array, ids: np.ndarray) -> memoryview:
+        """The parts at `ids`, end to end."""
+        if not len(ids):
+            return memoryview(b"")
+        taken = parts.take(pa.array(ids))
+        offsets = np.frombuffer(taken.buffers()[1], dtype=np.int64, count=len(taken) + 1)
+        return memoryview(taken.buffers()[2])[offsets[0] : offsets[-1]]
+
+    def written(self, ids: np.ndarray) -> memoryview:
+        """The ids in decimal, one blank between two."""
+        return self._joined(self.numerals, ids)[:-1]
 
-    def decode_stream(self, ids: Iterable[int], block: int = 65536) -> Iterator[str]:
-        machine, ids = Utf8(), iter(ids)
-        while some := list(itertools.islice(ids, block)):
+    def decode_bytes(self, ids: Iterable[int]) -> bytes:
+        return self._joined(self.bytes_of, ids if isinstance(ids, np.ndarray) else np.array(ids, dtype=np.int64)).tobytes()
+
+    def decode_stream(self, ids: Iterable[int] | np.ndarray, block: int = 65536) -> Iterator[str]:
+        machine = Utf8()
+        if isinstance(ids, np.ndarray):
+            parts: Iterable = (ids[i : i + block] for i in range(0, len(ids), block))
+        else:
+            source = iter(ids)
+            parts = iter(lambda: list(itertools.islice(source, block)), [])
+        for some in parts:
             yield machine.feed(self.decode_bytes(some))
         yield machine.end()
 
@@ -329,15 +419,14 @@ def encode_documents(docs: DataFrame, vocabulary: str, pattern: str, id_col: str
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(shared.value, pattern)
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                some = batch.slice(at, 256)
+            for some in slices(batch):
                 texts = [x or "" for x in some.column(1).to_pylist()]
-                found = [own.encode(x) for x in texts]
+                found = own.encode_batch(texts)
                 lossless = ["".join(own.decode_stream(ids)) == x for ids, x in zip(found, texts, strict=True)]
-                offsets = np.concatenate([[0], np.cumsum([len(x) for x in found])]).astype(np.int32)
-                flat = np.fromiter(itertools.chain.from_iterable(found), dtype=np.int32, count=int(offsets[-1]))
-                ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(flat))
-                yield pa.record_batch([some.column(0), pa.array(np.diff(offsets).astype(np.int64)), ids, pa.array(lossless, pa.bool_())], names=["doc_id", "n_tokens", "ids", "lossless"])
+                sizes = np.array([len(x) for x in found], dtype=np.int64)
+                offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+                ids = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([*found, []]).astype(np.int32)))
+                yield pa.record_batch([some.column(0), pa.array(sizes), ids, pa.array(lossless, pa.bool_())], names=["doc_id", "n_tokens", "ids", "lossless"])
 
     kind = docs.schema[id_col].dataType.simpleString()
     return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string")).mapInArrow(run, f"doc_id {kind}, n_tokens long, ids array<int>, lossless boolean")
@@ -367,17 +456,16 @@ def round_trip(docs: DataFrame, vocabulary: str, pattern: str, id_col: str = "do
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = codec(shared.value, pattern)
-        numerals = own.v.text
         for batch in batches:
             counts, encoded, decoded = [], [], []
-            for text in batch.column(1):
-                ids = own.encode(text.as_py())
-                counts.append(len(ids))
-                encoded.append(hashlib.sha256(" ".join(map(numerals.__getitem__, ids)).encode()).hexdigest())
-                back = hashlib.sha256()
-                for part in own.decode_stream(ids):
-                    back.update(part.encode("utf-8", "surrogatepass"))
-                decoded.append(back.hexdigest())
+            for some in slices(batch):
+                for ids in own.encode_batch([x or "" for x in some.column(1).to_pylist()]):
+                    counts.append(len(ids))
+                    encoded.append(hashlib.sha256(own.written(ids)).hexdigest())
+                    back = hashlib.sha256()
+                    for part in own.decode_stream(ids):
+                        back.update(part.encode("utf-8", "surrogatepass"))
+                    decoded.append(back.hexdigest())
             yield pa.record_batch(
                 [batch.column(0), pa.array(np.array(counts, dtype=np.int64)), pa.array(encoded, type=pa.string()), pa.array(decoded, type=pa.string())],
                 names=["doc_id", "n_tokens", "ids_sha256", "decoded_sha256"],

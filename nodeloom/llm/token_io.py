@@ -26,12 +26,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .bpe import Memory, chunks, spoken
+from .bpe import ChunkTable, slices
 from .common import discard, fresh_path, materialize, tidy_shuffles
 
 SCALE, LANES, STEPS, LOW = 20, 1024, 256, 1 << 31
 #: Ids that fill a block; one document is never cut, so a longer one has a block of its own.
 BLOCK_IDS = 1 << 20
+#: Chunks of text whose ids a worker remembers.
+KNOWN = 1_200_000
 HEAD = struct.Struct("<4sHHQIIII")
 
 
@@ -126,9 +128,7 @@ class Rans:
 
 
 class LibraryTokenizer:
-    """The tokenizers library on whole texts, remembering its result for each chunk between blanks."""
-
-    LINE = 198  # looked up below; the library's id of a single line feed
+    """The tokenizers library on whole texts; what it gave for a chunk between blanks is remembered."""
 
     def __init__(self, data: bytes):
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -137,42 +137,29 @@ class LibraryTokenizer:
         self.library = Tokenizer.from_str(data.decode("utf-8"))
         self.library.encode_special_tokens = True
         self.kind = np.uint16 if self.library.get_vocab_size() <= 1 << 16 else np.uint32
-        self.known = Memory(None, 600_000)
         # chunks stand for themselves only if the library splits at blanks by the byte-level pattern and adds nothing
         own = self.library.pre_tokenizer
-        self.by_chunk = self.library.normalizer is None and type(own).__name__ == "ByteLevel" and not own.add_prefix_space
         line = self.library.encode("\n", add_special_tokens=False).ids
-        self.by_chunk &= len(line) == 1
-        self.LINE = line[0]
+        self.by_chunk = self.library.normalizer is None and type(own).__name__ == "ByteLevel" and not own.add_prefix_space and len(line) == 1
+        self.line = line[0]
+        self.table = ChunkTable(self._chunks, self._texts, self.kind, KNOWN)
 
-    def _ask(self, texts: list[str]) -> list[np.ndarray]:
+    def _texts(self, texts: list[str]) -> list[np.ndarray]:
         return [np.array(e.ids, dtype=self.kind) for e in self.library.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _ask_chunks(self, chunks: list[str]) -> list[bytes]:
-        """The ids of chunks, in one text: a line feed between two of them is a match, and an id, of its own.
+    def _chunks(self, chunks: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of chunks, asked for as one text: a line feed between two of them is a match, and an id, of its own.
 
         That holds where a chunk begins with one blank or line feed at most and has none further on.
         """
-        if not chunks:
-            return []
-        ids = self._ask(["\n".join(chunks)])[0]
-        lines = np.flatnonzero(ids == self.LINE)
-        begun = np.cumsum([c[0] == "\n" for c in chunks])
-        ends = lines[(np.arange(len(chunks) - 1) + begun[:-1])] if len(chunks) > 1 else lines[:0]
-        edges = [0, *(ends + 1).tolist(), len(ids) + 1]
-        return [ids[x : y - 1].tobytes() for x, y in zip(edges[:-1], edges[1:], strict=True)]
+        ids = self._texts(["\n".join(chunks)])[0]
+        lines = np.flatnonzero(ids == self.line)
+        begun = np.cumsum([t[0] == "\n" for t in chunks])
+        borders = lines[np.arange(len(chunks) - 1) + begun[:-1]]
+        return np.delete(ids, borders), np.diff(np.concatenate([[-1], borders, [len(ids)]])) - 1
 
     def batch(self, texts: list[str]) -> list[np.ndarray]:
-        """The ids of each text. What is not remembered is asked for in one call for all texts."""
-        split = [chunks(x) if self.by_chunk else None for x in texts]
-        known = self.known
-        distinct = set().union(*(x for x in split if x))
-        fresh = [c for c in distinct if c not in known and c not in known.old]
-        answers = dict(zip(fresh, self._ask_chunks([spoken(c) for c in fresh]), strict=True))
-        # an entry seen above may be forgotten before it is used
-        known.make = lambda c: answers[c] if c in answers else self._ask_chunks([spoken(c)])[0]
-        whole = iter(self._ask([x for x, c in zip(texts, split, strict=True) if c is None]))
-        return [next(whole) if c is None else np.frombuffer(b"".join(map(known.__getitem__, c)), dtype=self.kind) for c in split]
+        return self.table.batch(texts, self.by_chunk)
 
 
 _TOKENIZERS: dict[int, LibraryTokenizer] = {}
@@ -210,8 +197,7 @@ def _encode(docs: DataFrame, data: bytes, end_id: int, id_col: str, text_col: st
 
         for batch in batches:
             id_type = batch.schema.field(0).type
-            for at in range(0, batch.num_rows, 256):
-                some = batch.slice(at, 256)
+            for some in slices(batch):
                 for doc_id, ids in zip(some.column(0).to_pylist(), own.batch([x or "" for x in some.column(1).to_pylist()]), strict=True):
                     doc_ids.append(doc_id)
                     parts.append(ids)
