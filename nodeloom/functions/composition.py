@@ -53,8 +53,9 @@ def hamming(a: Column, b: Column) -> Column:
 
 
 def kemeny(a: Column, b: Column) -> Column:
-    """Half the summed differences of pair-order codes."""
-    return manhattan(a, b) / 2
+    """Summed over pairs: 1 for opposite orders, a half for an order against a tie."""
+    apart = F.zip_with(a, b, lambda x, y: F.when(x == y, 0.0).when((x == 0) | (y == 0), 0.5).otherwise(1.0))
+    return F.aggregate(apart, F.lit(0.0), lambda s, v: s + v)
 
 
 def cosine_similarity(a: Column, b: Column) -> Column:

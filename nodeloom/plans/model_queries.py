@@ -56,7 +56,7 @@ def spectral_joint(spark, sf):
 @query()
 def kefrin(spark, sf):
     """Features and network together."""
-    return clustering.run("kefrin", S.vectors(spark, sf), 6, gq.knn(spark, sf, 5, True), runs=5, cosine=True)
+    return clustering.run("kefrin", S.vectors(spark, sf), 6, gq.knn(spark, sf, 5, True), runs=5)
 
 
 @query(f"SELECT sum(s * n) AS criterion FROM (SELECT var_pop(v) AS s, count(*) AS n FROM {gq.CELLS} GROUP BY label, pos)", "criterion")

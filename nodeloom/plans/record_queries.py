@@ -412,7 +412,7 @@ def pattern_clusters(spark, sf):
 
 @query(
     f"""WITH c AS {CODES}, k AS (SELECT codes, row_number() OVER (ORDER BY count(*) DESC, codes) - 1 AS label FROM c GROUP BY codes QUALIFY label < 4)
-    SELECT node, arg_min(label, (d, label)) AS label, min(d) AS distance FROM c, LATERAL (SELECT label, list_sum(list_transform(list_zip(c.codes, k.codes), lambda z: abs(z[1] - z[2]))) / 2 AS d FROM k) GROUP BY node""",
+    SELECT node, arg_min(label, (d, label)) AS label, min(d) AS distance FROM c, LATERAL (SELECT label, list_sum(list_transform(list_zip(c.codes, k.codes), lambda z: CASE WHEN z[1] = z[2] THEN 0 WHEN z[1] = 0 OR z[2] = 0 THEN 0.5 ELSE 1 END)) AS d FROM k) GROUP BY node""",
     "distance",
 )
 def pattern_k(spark, sf):
