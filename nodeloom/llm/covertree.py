@@ -22,9 +22,14 @@ from pyspark.sql import functions as F
 from .common import materialize
 from .components import connected_components
 
-THRESHOLD, CELL, PIVOTS, LEAF = 0.93, 2_000, 16, 24
-#: Slack of the pruning bounds against rounding; exact cosines decide.
-SLACK = 1e-9
+THRESHOLD, CELL, PIVOTS, LEAF = 0.93, 2_000, 16, 48
+#: Slack of radii and bounds against rounding (a distance from a product is good to 3e-8); exact cosines decide.
+SLACK = 1e-7
+
+
+def _gaps(x: np.ndarray, centre: np.ndarray) -> np.ndarray:
+    """Distances of unit vectors from one of them."""
+    return np.sqrt(np.maximum(0.0, 2 - 2 * (x @ centre)))
 
 
 class Tree:
@@ -41,30 +46,30 @@ class Tree:
 
     def _node(self, centre: int, points: np.ndarray, away: np.ndarray) -> int:
         self.centre.append(centre)
-        self.radius.append(float(away.max(initial=0.0)))
+        self.radius.append(float(away.max(initial=0.0)) + SLACK)
         self.children.append([])
         self.points.append(points)
         return len(self.centre) - 1
 
     def _grow(self, points: np.ndarray, centre: int, scale: float) -> None:
-        away = np.linalg.norm(self.x[points] - self.x[centre], axis=1)
+        away = _gaps(self.x[points], self.x[centre])
         todo = [(self._node(centre, points, away), away, scale)]
         while todo:
             node, away, scale = todo.pop()
             points, centre = self.points[node], self.centre[node]
-            if len(points) <= LEAF or self.radius[node] < 1e-7:
+            if len(points) <= LEAF or self.radius[node] < 2 * SLACK:
                 continue
             while scale >= self.radius[node]:
                 scale /= 2
             # a net of the next level: the centre stays, each further centre is more than `scale` from those before
-            owner, best = np.zeros(len(points), dtype=np.int64), away.copy()
+            own, owner, best = self.x[points], np.zeros(len(points), dtype=np.int64), away.copy()
             centres = [centre]
             while True:
                 far = int(best.argmax())
                 if best[far] <= scale:
                     break
                 centres.append(int(points[far]))
-                gap = np.linalg.norm(self.x[points] - self.x[points[far]], axis=1)
+                gap = _gaps(own, own[far])
                 closer = gap < best
                 owner[closer], best[closer] = len(centres) - 1, gap[closer]
             for k, c in enumerate(centres):
@@ -98,7 +103,8 @@ def dual(a: Tree, b: Tree, threshold: float, same: bool) -> Iterator[tuple[np.nd
             i, j = i[once], j[once]
         gap = np.empty(len(i))
         for k in range(0, len(i), 8192):
-            gap[k : k + 8192] = np.linalg.norm(a.x[centre_a[i[k : k + 8192]]] - b.x[centre_b[j[k : k + 8192]]], axis=1)
+            products = np.einsum("ij,ij->i", a.x[centre_a[i[k : k + 8192]]], b.x[centre_b[j[k : k + 8192]]])
+            gap[k : k + 8192] = np.sqrt(np.maximum(0.0, 2 - 2 * products))
         near = gap <= reach + radius_a[i] + radius_b[j] + SLACK
         i, j = i[near], j[near]
         ends = leaf_a[i] & leaf_b[j]
