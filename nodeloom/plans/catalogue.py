@@ -1,6 +1,6 @@
 """All queries of the engine, gathered from the modules that register them."""
 
-from . import graph_queries, model_queries, panel_queries, record_queries
+from . import composite_queries, graph_queries, model_queries, panel_queries, record_queries
 from .registry import ORACLES, QUERIES
 
-__all__ = ["ORACLES", "QUERIES", "graph_queries", "model_queries", "panel_queries", "record_queries"]
+__all__ = ["ORACLES", "QUERIES", "composite_queries", "graph_queries", "model_queries", "panel_queries", "record_queries"]
