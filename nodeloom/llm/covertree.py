@@ -98,9 +98,6 @@ def dual(a: Tree, b: Tree, threshold: float, same: bool) -> Iterator[tuple[np.nd
         if len(i) > 200_000:  # a bounded frontier
             todo += [(i[k : k + 100_000], j[k : k + 100_000]) for k in range(0, len(i), 100_000)]
             continue
-        if same:  # pairs of different nodes come in both orders: take one
-            once = i <= j
-            i, j = i[once], j[once]
         gap = np.empty(len(i))
         for k in range(0, len(i), 8192):
             products = np.einsum("ij,ij->i", a.x[centre_a[i[k : k + 8192]]], b.x[centre_b[j[k : k + 8192]]])
@@ -119,14 +116,12 @@ def dual(a: Tree, b: Tree, threshold: float, same: bool) -> Iterator[tuple[np.nd
         i, j = i[~ends], j[~ends]
         if not len(i):
             continue
-        if same:  # both sides go down together, so that the order of node numbers stays that of the tree
+        if same:  # both sides go down together; only a node with itself gives its pairs of children twice
             left, up = _expand(a, i)
-            j_up = j[up]
-            right, again = _expand(b, j_up)
-            mine = left[again]
-            swap = mine > right
-            pair = np.unique(np.stack([np.where(swap, right, mine), np.where(swap, mine, right)]), axis=1)
-            todo.append((pair[0], pair[1]))
+            right, again = _expand(b, j[up])
+            left, twin = left[again], (i == j)[up][again]
+            once = ~twin | (left <= right)
+            todo.append((left[once], right[once]))
             continue
         wide = (radius_a[i] >= radius_b[j]) & ~leaf_a[i] | leaf_b[j]
         if wide.any():
