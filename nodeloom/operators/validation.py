@@ -154,7 +154,7 @@ def cross_validated(df: DataFrame, fold: str, group: str, y: str) -> DataFrame:
     f = known.groupBy(fold).agg(F.sum(y).alias("fs"), F.count(F.lit(1)).alias("fn"))
     whole = known.agg(F.sum(y).alias("ws"), F.count(F.lit(1)).alias("wn"))
     f = f.crossJoin(F.broadcast(whole)).select(fold, ((F.col("ws") - F.col("fs")) / (F.col("wn") - F.col("fn"))).alias("base"))
-    scored = known.join(F.broadcast(g.select(group, fold, F.try_divide("ts", "tn").alias("m"))), [group, fold]).join(F.broadcast(f), fold)
+    scored = known.join(g.select(group, fold, F.try_divide("ts", "tn").alias("m")), [group, fold]).join(F.broadcast(f), fold)
     error = F.col(y) - F.coalesce("m", "base")
     return scored.agg((1 - F.try_divide(F.sum(error * error), F.sum((F.col(y) - F.col("base")) ** 2))).alias("r2"), F.count(F.lit(1)).alias("n"))
 

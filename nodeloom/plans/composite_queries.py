@@ -247,12 +247,12 @@ def k_choice(spark, sf):
 @query(
     f"""WITH u AS (SELECT node, y, period, category, (d - avg(d) OVER w) / nullif(stddev_pop(d) OVER w * sqrt(count(d) OVER w), 0) AS u FROM (SELECT node, period // 4 AS y, period % 4 AS period, category, r - avg(r) OVER (PARTITION BY node, period // 4, category) AS d
       FROM (SELECT *, ln(value) - median(ln(value)) OVER (PARTITION BY period, category) AS r FROM {S.cells_sql('quarter', 1997, 1998)})) WINDOW w AS (PARTITION BY node, y))
-    SELECT CAST(a.y AS BIGINT) AS year, a.node AS src, b.node AS dst, greatest(sum(a.u * b.u), 0) AS weight FROM u a JOIN u b ON a.y = b.y AND a.period = b.period AND a.category = b.category AND a.node < b.node WHERE a.node < 20 AND b.node < 20 GROUP BY ALL HAVING weight > 0""",
+    SELECT CAST(a.y AS BIGINT) AS year, a.node AS src, b.node AS dst, greatest(sum(a.u * b.u), 0) AS weight FROM u a JOIN u b ON a.y = b.y AND a.period = b.period AND a.category = b.category AND a.node < b.node GROUP BY ALL HAVING weight > 0""",
     "weight",
 )
 def yearly_comovement(spark, sf):
-    """Similarity of trajectories year by year, for the first twenty nodes as a stated report."""
-    res = panel.residuals(S.cells(spark, sf, "quarter", 1997, 1998), ["period", "category"]).where("node < 20").withColumn("year", F.expr("period div 4"))
+    """Similarity of trajectories year by year."""
+    res = panel.residuals(S.cells(spark, sf, "quarter", 1997, 1998), ["period", "category"]).withColumn("year", F.expr("period div 4"))
     keyed = res.withColumn("key", F.struct("node", "year")).drop("node").withColumnRenamed("key", "node")
     rows = panel.standard_rows(keyed).select(F.col("node.node").alias("n"), F.col("node.year").alias("year"), "category", "period", "u")
     left, right = rows.withColumnRenamed("n", "src"), rows.select(F.col("n").alias("dst"), "year", "category", "period", F.col("u").alias("v"))
@@ -269,3 +269,54 @@ def top_candidates(spark, sf):
     head = place(ranking.borda(table), "borda_place").where("borda_place <= 12")
     other = place(ranking.borda(table.where(F.col("index") != "size")), "place").withColumn("without", F.lit("size"))
     return head.join(other, "candidate").select("candidate", "borda_place", "without", "place")
+
+
+# -- scans and scalar functions
+
+
+@query("SELECT l_orderkey, l_linenumber, l_quantity FROM lineitem WHERE l_returnflag = 'R' AND l_quantity > 40", "l_quantity")
+def projected_scan(spark, sf):
+    """A2: three columns and a predicate that both reach the Parquet reader."""
+    from ..sources import storage
+
+    return storage.projected(spark, f"{sf}/lineitem.parquet", ["l_orderkey", "l_linenumber", "l_quantity"], (F.col("l_returnflag") == "R") & (F.col("l_quantity") > 40))
+
+
+@query("SELECT p_partkey AS node, p_retailprice AS access FROM part", "access")
+def scalar_lookup(spark, sf):
+    """A3: one number a node."""
+    return S.load(spark, sf, "part").select(F.col("p_partkey").alias("node"), F.col("p_retailprice").alias("access"))
+
+
+@query(
+    "SELECT c_custkey, CASE WHEN c_acctbal > 0 THEN ln(c_acctbal) END AS log_balance, ln(1 + abs(c_acctbal)) AS log1p_balance, exp(c_acctbal / 10000) AS growth, sqrt(abs(c_acctbal)) AS root, round(c_acctbal, 1) AS tenth FROM customer",
+    "log_balance log1p_balance growth root tenth",
+)
+def scalar_functions(spark, sf):
+    """H1: logarithms of what has one, and the rest."""
+    b = F.col("c_acctbal")
+    return S.load(spark, sf, "customer").select("c_custkey", C.safe_ln(b).alias("log_balance"), F.log1p(F.abs(b)).alias("log1p_balance"), F.exp(b / 10000).alias("growth"), F.sqrt(F.abs(b)).alias("root"), F.round(b, 1).alias("tenth"))
+
+
+@query(
+    f"""WITH v AS (SELECT node, [{', '.join(pq.LOWER)}] AS x FROM (SELECT node, {', '.join(f'avg({c}) AS {c}' for c in pq.LOWER)} FROM {pq._shares_sql(pq.YEAR)} GROUP BY node))
+    SELECT a.node AS a, b.node AS b, list_sum(list_transform(list_zip(a.x, b.x), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS squared, list_sum(list_transform(list_zip(a.x, b.x), lambda z: abs(z[1] - z[2]))) AS manhattan,
+    list_sum(list_transform(list_zip(a.x, b.x), lambda z: (round(z[1], 2) <> round(z[2], 2))::DOUBLE)) AS hamming, (1 + list_cosine_similarity(a.x, b.x)) / 2 AS cosine FROM v a JOIN v b ON b.node = a.node + 1""",
+    "squared manhattan hamming cosine",
+)
+def vector_distances(spark, sf):
+    """Distances of neighbouring nodes' share vectors."""
+    v = panel.share_vectors(panel.shares(S.cells(spark, sf), S.NAMED, S.RESIDUAL), pq.CATS, ["node"])
+    other = v.select((F.col("node") - 1).alias("node"), F.col("node").alias("b"), F.col("shares").alias("y"))
+    both = v.join(other, "node")
+    cut = lambda c: F.transform(c, lambda e: F.round(e, 2))
+    return both.select(F.col("node").alias("a"), "b", C.squared_distance(F.col("shares"), F.col("y")).alias("squared"), C.manhattan(F.col("shares"), F.col("y")).alias("manhattan"), C.hamming(cut("shares"), cut("y")).alias("hamming"), C.cosine_similarity(F.col("shares"), F.col("y")).alias("cosine"))
+
+
+@query(
+    "WITH t AS (SELECT o_orderkey, row_number() OVER (ORDER BY o_totalprice DESC, o_orderkey) AS place, o_totalprice FROM orders) SELECT * FROM t WHERE place <= 20", "o_totalprice"
+)
+def top_orders(spark, sf):
+    """a top-k report; the limit is applied in every partition before one merges them."""
+    head = S.load(spark, sf, "orders").select("o_orderkey", "o_totalprice").orderBy(F.col("o_totalprice").desc(), "o_orderkey").limit(20)
+    return head.withColumn("place", F.row_number().over(Window.orderBy(F.col("o_totalprice").desc(), "o_orderkey")))

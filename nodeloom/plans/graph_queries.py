@@ -45,12 +45,12 @@ def mutual_knn(spark, sf):
 
 
 FLOWS = """(SELECT CAST(c_nationkey AS BIGINT) AS a, CAST(s_nationkey AS BIGINT) AS b, abs(c_nationkey * 7 - s_nationkey * 3) % 11 * 25.0 + l_linenumber AS d
-  FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey WHERE l_linenumber <= 2)"""
+  FROM lineitem JOIN orders ON l_orderkey = o_orderkey JOIN customer ON o_custkey = c_custkey JOIN supplier ON l_suppkey = s_suppkey)"""
 CANON = f"""(SELECT least(a, b) AS a, greatest(a, b) AS b, CASE WHEN avg(d) <= 1.5 THEN 1.0 ELSE avg(d) END AS distance, max(d) - min(d) AS spread FROM {FLOWS} WHERE a <> b GROUP BY 1, 2)"""
 
 
 def _flows(spark, sf):
-    items = S.load(spark, sf, "lineitem").where("l_linenumber <= 2").select(F.col("l_orderkey").alias("o_orderkey"), F.col("l_suppkey").alias("s_suppkey"), "l_linenumber")
+    items = S.load(spark, sf, "lineitem").select(F.col("l_orderkey").alias("o_orderkey"), F.col("l_suppkey").alias("s_suppkey"), "l_linenumber")
     orders = S.load(spark, sf, "orders").select("o_orderkey", F.col("o_custkey").alias("c_custkey"))
     customers = S.load(spark, sf, "customer").select("c_custkey", F.col("c_nationkey").cast("long").alias("a"))
     suppliers = S.load(spark, sf, "supplier").select("s_suppkey", F.col("s_nationkey").cast("long").alias("b"))

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import functions as F
 
 from ..operators import clustering, graph, indices, stats, validation
@@ -9,14 +10,6 @@ from ..sources import standins as S
 from . import graph_queries as gq
 from .registry import query
 
-INT = "CAST(label AS BIGINT)"
-
-
-def small(spark, sf):
-    """Vectors of five labels: what one machine clusters quickly."""
-    return S.vectors(spark, sf).where("label < 5")
-
-
 @query()
 def kmeans(spark, sf):
     """L1: the best of several runs."""
@@ -88,7 +81,7 @@ def ols_clustered(spark, sf):
     t = t.select("c_nationkey", (F.col("c_acctbal") + 1000).alias("income"), "o_totalprice", (F.col("o_orderkey") % 7).cast("double").alias("size"))
     t = stats.scaled_design(t.withColumn("spend", F.ln("o_totalprice")).withColumn("earn", F.ln("income")).withColumn("ratio", F.col("spend") - F.col("earn")), ["size"])
     found = [stats.ols(t, y, ["size"], "c_nationkey").assign(outcome=y) for y in ("spend", "earn", "ratio")]
-    return spark.createDataFrame(__import__("pandas").concat(found))
+    return spark.createDataFrame(pd.concat(found))
 
 
 @query()
@@ -128,7 +121,7 @@ def community_strength(spark, sf):
 @query()
 def subsample_stability(spark, sf):
     """Agreement of subsample partitions with the whole."""
-    found = stats.stability(lambda v, seed: clustering.kmeans(v, 5, 1, seed), small(spark, sf), runs=4)
+    found = stats.stability(lambda v, seed: clustering.kmeans(v, 5, 1, seed), S.vectors(spark, sf), runs=4)
     return spark.createDataFrame([tuple(float(v) for v in found.values())], ", ".join(f"{k} double" for k in found))
 
 
@@ -157,7 +150,7 @@ def select_partition(spark, sf):
     """Candidates by k-means and Ward, their indices, admissibility, ranks."""
     from ..operators import ranking
 
-    vectors, edges = small(spark, sf), gq.knn(spark, sf, 5, True)
+    vectors, edges = S.vectors(spark, sf), gq.knn(spark, sf, 5, True)
     rows = None
     for method in ("kmeans", "ward"):
         for k in (3, 4, 5):

@@ -60,12 +60,12 @@ def codes_and_sections(spark, sf):
     return S.load(spark, sf, "supplier").select("s_suppkey", C.digits(F.concat("s_name", F.lit("-77"))).alias("code"), C.section_letter(title).alias("section"))
 
 
-VERSIONS = "(SELECT o_custkey % 400 AS code, o_orderdate AS d0, lead(o_orderdate) OVER (PARTITION BY o_custkey % 400 ORDER BY o_orderdate, o_orderkey) AS d1, o_orderkey FROM orders WHERE o_orderkey % 7 = 0)"
+VERSIONS = "(SELECT o_custkey AS code, o_orderdate AS d0, lead(o_orderdate) OVER (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey) AS d1, o_orderkey FROM orders)"
 VERSION = f"(SELECT code, CAST(year(d0) AS BIGINT) AS y0, CAST(coalesce(year(d1), 9999) AS BIGINT) AS y1, o_orderkey AS node FROM {VERSIONS})"
 
 
 def versions(spark, sf):
-    orders = S.load(spark, sf, "orders").where("o_orderkey % 7 = 0").withColumn("code", F.col("o_custkey") % 400)
+    orders = S.load(spark, sf, "orders").withColumnRenamed("o_custkey", "code")
     over = Window.partitionBy("code").orderBy("o_orderdate", "o_orderkey")
     return orders.withColumn("d1", F.lead("o_orderdate").over(over)).select(
         "code", F.year("o_orderdate").cast("long").alias("y0"), F.coalesce(F.year("d1"), F.lit(9999)).cast("long").alias("y1"), F.col("o_orderkey").alias("node")
@@ -295,11 +295,11 @@ def part_concat(spark, sf):
 
 # -- dynamics
 
-QLABELS = "(SELECT user_id AS node, CAST(floor((epoch(ts) - 1704067200) / 345600) AS BIGINT) AS period, min(event_type) AS label FROM (SELECT *, row_number() OVER (PARTITION BY user_id, floor((epoch(ts) - 1704067200) / 345600) ORDER BY value DESC, event_id) AS r FROM events) WHERE r = 1 AND user_id % 2 = 0 GROUP BY 1, 2)"
+QLABELS = "(SELECT user_id AS node, CAST(floor((epoch(ts) - 1704067200) / 345600) AS BIGINT) AS period, min(event_type) AS label FROM (SELECT *, row_number() OVER (PARTITION BY user_id, floor((epoch(ts) - 1704067200) / 345600) ORDER BY value DESC, event_id) AS r FROM events) WHERE r = 1 GROUP BY 1, 2)"
 
 
 def qlabels(spark, sf):
-    e = S.load(spark, sf, "events").where("user_id % 2 = 0").withColumn("period", F.expr("datediff(ts, date'2024-01-01') div 4"))
+    e = S.load(spark, sf, "events").withColumn("period", F.expr("datediff(ts, date'2024-01-01') div 4"))
     over = Window.partitionBy("user_id", "period").orderBy(F.col("value").desc(), "event_id")
     return e.withColumn("_r", F.row_number().over(over)).where("_r = 1").select(F.col("user_id").alias("node"), "period", F.col("event_type").alias("label"))
 
