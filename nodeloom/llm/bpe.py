@@ -22,7 +22,7 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-ROOT, STATES, PIECES, MEMORY, LOOKAHEAD = 0, 250_000, 150_000, 700_000, 256
+ROOT, STATES, PIECES, MEMORY, LOOKAHEAD = 0, 200_000, 100_000, 400_000, 256
 _FAR = 1 << 60
 
 
@@ -275,7 +275,7 @@ class ChunkTable:
 
     Ids of all remembered chunks lie in one buffer; those of a batch of texts are gathered from it. `ask_chunks` gives
     the ids of chunk texts end to end, with the number of each; `ask_texts` those of texts that are not cut. When more
-    than `most` chunks are known, all are forgotten.
+    than `most` chunks are known, those met in one batch only are forgotten, then those met in few.
     """
 
     def __init__(self, ask_chunks, ask_texts, kind, most: int = MEMORY):
@@ -284,9 +284,25 @@ class ChunkTable:
 
     def _forget(self) -> None:
         self.known: dict[str, int] = {"\0": 0}  # a text that begins with a blank: nothing comes before it
-        self.start, self.size = np.zeros(1024, dtype=np.int64), np.zeros(1024, dtype=np.int32)
+        self.start, self.size, self.met = (np.zeros(1024, dtype=k) for k in (np.int64, np.int32, np.int32))
         self.buffer, self.used = np.zeros(8192, dtype=self.kind), 0
 
+    def _thin(self) -> None:
+        count = len(self.known)
+        need = 2
+        while np.count_nonzero(self.met[1:count] >= need) > self.most // 2:
+            need *= 2
+        stays = self.met[:count] >= need
+        stays[0] = True
+        number = np.cumsum(stays) - 1
+        flags, number = stays.tolist(), number.tolist()
+        self.known = {c: number[i] for c, i in self.known.items() if flags[i]}
+        size, start = self.size[:count][stays], self.start[:count][stays]
+        ends = np.cumsum(size, dtype=np.int64)
+        self.used = int(ends[-1])
+        self.buffer = np.concatenate([self.buffer[np.repeat(start - (ends - size), size) + np.arange(self.used)], np.zeros(8192, dtype=self.kind)])
+        self.start, self.size, self.met = ends - size, size, self.met[:count][stays] // 2
+
     def _learn(self, new: list[str]) -> None:
         if not new:
             return
@@ -294,7 +310,7 @@ class ChunkTable:
         first, count = len(self.known), len(new)
         if first + count > len(self.start):
             more = max(first + count, 2 * len(self.start)) - len(self.start)
-            self.start, self.size = np.pad(self.start, (0, more)), np.pad(self.size, (0, more))
+            self.start, self.size, self.met = (np.pad(x, (0, more)) for x in (self.start, self.size, self.met))
         if self.used + len(ids) > len(self.buffer):
             self.buffer = np.pad(self.buffer, (0, max(len(ids), len(self.buffer))))
         self.buffer[self.used : self.used + len(ids)] = ids
@@ -307,13 +323,15 @@ class ChunkTable:
         flats = [flat(x) if cut else None for x in texts]
         whole = iter(self.ask_texts([x for x, c in zip(texts, flats, strict=True) if c is None]))
         if len(self.known) > self.most:
-            self._forget()
+            self._thin()
         lists = pc.split_pattern(pa.array([c for c in flats if c is not None], pa.string()), " ")
         numbered = lists.flatten().dictionary_encode()
         distinct = numbered.dictionary.to_pylist()
         known = self.known
         self._learn([c for c in distinct if c not in known])
-        entry = np.fromiter(map(known.__getitem__, distinct), dtype=np.int64, count=len(distinct))[numbered.indices.to_numpy()]
+        place = np.fromiter(map(known.__getitem__, distinct), dtype=np.int64, count=len(distinct))
+        self.met[place] += 1
+        entry = place[numbered.indices.to_numpy()]
         size = self.size[entry]
         ends = np.cumsum(size, dtype=np.int64)
         total = int(ends[-1]) if len(ends) else 0
@@ -323,7 +341,7 @@ class ChunkTable:
         return [next(whole) if c is None else next(found) for c in flats]
 
 
-def slices(batch: pa.RecordBatch, column: int = 1, rows: int = 2048, size: int = 8 << 20) -> Iterator[pa.RecordBatch]:
+def slices(batch: pa.RecordBatch, column: int = 1, rows: int = 2048, size: int = 4 << 20) -> Iterator[pa.RecordBatch]:
     """Runs of rows with about `size` bytes of text at most."""
     lengths = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False)
     at, held = 0, 0

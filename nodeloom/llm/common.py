@@ -44,11 +44,11 @@ def tidy_shuffles(spark: SparkSession) -> Iterator[None]:
         spark.conf.set(key, before)
 
 
-def materialize(df: DataFrame, tag: str) -> DataFrame:
+def materialize(df: DataFrame, tag: str, compression: str = "zstd") -> DataFrame:
     """Write `df` to the shared folder and read it back: lineage ends in files that outlive any executor."""
     path = fresh_path(df.sparkSession, tag)
     with tidy_shuffles(df.sparkSession):
-        df.write.option("compression", "zstd").parquet(path)
+        df.write.option("compression", compression).parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out.nodeloom_path = path
     return out

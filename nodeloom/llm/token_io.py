@@ -29,11 +29,11 @@ from pyspark.sql import functions as F
 from .bpe import ChunkTable, slices
 from .common import discard, fresh_path, materialize, tidy_shuffles
 
-SCALE, LANES, STEPS, LOW = 20, 1024, 256, 1 << 31
+SCALE, LANES, STEPS, LOW = 20, 2048, 128, 1 << 31
 #: Ids that fill a block; one document is never cut, so a longer one has a block of its own.
 BLOCK_IDS = 1 << 20
 #: Chunks of text whose ids a worker remembers.
-KNOWN = 1_200_000
+KNOWN = 400_000
 HEAD = struct.Struct("<4sHHQIIII")
 
 
@@ -60,9 +60,9 @@ class Rans:
 
     def __init__(self, freq: np.ndarray, scale: int = SCALE):
         self.scale, self.mask = np.uint64(scale), np.uint64((1 << scale) - 1)
-        self.freq = freq.astype(np.uint64)
-        self.start = np.concatenate([[0], np.cumsum(freq)[:-1]]).astype(np.uint64)
-        self.top = self.freq << np.uint64(63 - scale)
+        start = np.concatenate([[0], np.cumsum(freq)[:-1]]).astype(np.uint64)
+        # start and frequency in one word: one look-up an id
+        self.both = start << np.uint64(32) | freq.astype(np.uint64)
         self.slots = np.repeat(np.arange(len(freq), dtype=np.uint32), freq)
 
     def encode(self, ids: np.ndarray, lanes: int = LANES, steps: int = STEPS) -> bytes:
@@ -72,24 +72,25 @@ class Rans:
         state = np.full(lanes, LOW, dtype=np.uint64)
         words: list[np.ndarray] = []  # from the last step to the first
         marks: list[tuple[int, np.ndarray]] = []
-        written, wide, half = 0, np.uint64(32), np.uint64(0xFFFFFFFF)
+        written, wide, half, lift = 0, np.uint64(32), np.uint64(0xFFFFFFFF), np.uint64(63) - self.scale
         for step in range(rounds - 1, -1, -1):
             some = ids[step * lanes : (step + 1) * lanes]
             k = len(some)
-            x, f = state[:k], self.freq[some]
-            full = x >= self.top[some]
+            both = self.both[some]
+            x, f = state[:k], both & half
+            full = x >= f << lift
             if full.any():
                 out = x[full]
                 words.append((out & half).astype(np.uint32))
                 written += len(out)
                 x[full] = out >> wide
             q, r = np.divmod(x, f)
-            state[:k] = (q << self.scale) + r + self.start[some]
+            state[:k] = (q << self.scale) + r + (both >> wide)
             if step % steps == 0:
                 marks.append((written, state.copy()))
         stream = np.concatenate(words[::-1]) if words else np.zeros(0, dtype=np.uint32)
         body = b"".join(struct.pack("<Q", written - at) + s.astype("<u8").tobytes() for at, s in marks[::-1]) + stream.astype("<u4").tobytes()
-        return HEAD.pack(b"NLRA", 1, lanes, n, steps, len(marks), zlib.crc32(ids.astype("<u4").tobytes()), zlib.crc32(body)) + body
+        return HEAD.pack(b"NLRA", 1, lanes, n, steps, len(marks), zlib.crc32(np.ascontiguousarray(ids, dtype="<u4")), zlib.crc32(body)) + body
 
     def decode(self, payload: bytes, checkpoint: int = 0, only: bool = False) -> np.ndarray:
         """The ids from a checkpoint to the end, or to the next checkpoint only. Whole blocks are checked twice."""
@@ -106,14 +107,15 @@ class Rans:
         words = np.frombuffer(payload, "<u4", offset=HEAD.size + marks * size).astype(np.uint64)
         rounds = -(-n // lanes)
         first, last = checkpoint * steps, min(rounds, (checkpoint + 1) * steps) if only else rounds
-        out = np.empty(min(n, last * lanes) - first * lanes, dtype=np.uint32)
-        low, wide, done = np.uint64(LOW), np.uint64(32), 0
+        out = np.empty(min(n, last * lanes) - first * lanes, dtype="<u4")
+        low, wide, half, done = np.uint64(LOW), np.uint64(32), np.uint64(0xFFFFFFFF), 0
         for step in range(first, last):
             k = min(lanes, n - step * lanes)
             x = state[:k]
             slot = x & self.mask
             some = self.slots[slot.astype(np.int64)]
-            x = self.freq[some] * (x >> self.scale) + slot - self.start[some]
+            both = self.both[some]
+            x = (both & half) * (x >> self.scale) + slot - (both >> wide)
             thin = x < low
             need = int(np.count_nonzero(thin))
             if need:
@@ -122,7 +124,7 @@ class Rans:
             state[:k] = x
             out[done : done + k] = some
             done += k
-        if checkpoint == 0 and not only and zlib.crc32(out.astype("<u4").tobytes()) != crc_ids:
+        if checkpoint == 0 and not only and zlib.crc32(out) != crc_ids:
             raise ValueError("the decoded ids' checksum differs")
         return out
 
@@ -182,17 +184,22 @@ def _encode(docs: DataFrame, data: bytes, end_id: int, id_col: str, text_col: st
         doc_ids: list = []
         parts: list[np.ndarray] = []
         block = first = held = 0
+        id_type = None
         tail = np.array([end_id], dtype=own.kind)
+        seen = np.zeros(own.library.get_vocab_size(), dtype=np.int64)
 
-        def row() -> pa.RecordBatch:
-            flat = np.concatenate([x for p in parts for x in (p, tail)])
+        def row(last: bool = False) -> pa.RecordBatch:
+            flat = np.concatenate([x for p in parts for x in (p, tail)]) if parts else tail[:0]
+            got = np.bincount(flat, minlength=len(seen))
+            seen[:] += got[: len(seen)]
             return pa.record_batch(
                 [
                     pa.array([part], pa.int32()), pa.array([block], pa.int64()), pa.array([first], pa.int64()), pa.array([len(flat)], pa.int64()),
                     pa.array([doc_ids], pa.list_(id_type)), pa.array([[len(p) + 1 for p in parts]], pa.list_(pa.int64())),
                     pa.array([flat.itemsize], pa.int32()), pa.array([flat.tobytes()], pa.binary()),
+                    pa.array([seen.tobytes() if last else None], pa.binary()),
                 ],
-                names=["part", "block", "first", "n", "doc_ids", "lengths", "width", "ids"],
+                names=["part", "block", "first", "n", "doc_ids", "lengths", "width", "ids", "counts"],
             )
 
         for batch in batches:
@@ -205,8 +212,8 @@ def _encode(docs: DataFrame, data: bytes, end_id: int, id_col: str, text_col: st
                     if held >= BLOCK_IDS:
                         yield row()
                         block, first, held, doc_ids, parts = block + 1, first + held, 0, [], []
-        if doc_ids:
-            yield row()
+        if id_type is not None:
+            yield row(True)
 
     ordered = (
         docs.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("string"), F.lit("")).alias("text"))
@@ -215,7 +222,7 @@ def _encode(docs: DataFrame, data: bytes, end_id: int, id_col: str, text_col: st
         .sortWithinPartitions("doc_id", "tie")
         .select("doc_id", "text")
     )
-    return ordered.mapInArrow(run, f"part int, block long, first long, n long, doc_ids array<{kind}>, lengths array<long>, width int, ids binary")
+    return ordered.mapInArrow(run, f"part int, block long, first long, n long, doc_ids array<{kind}>, lengths array<long>, width int, ids binary, counts binary")
 
 
 def write_token_files(docs: DataFrame, tokenizer_json: str, path: str, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> dict[int, int]:
@@ -227,21 +234,21 @@ def write_token_files(docs: DataFrame, tokenizer_json: str, path: str, end_id: i
     """
     with open(tokenizer_json, "rb") as f:
         data = f.read()
-    plain = materialize(_encode(docs, data, end_id, id_col, text_col), "ids")
+    plain = materialize(_encode(docs, data, end_id, id_col, text_col), "ids", "none")
     spark = docs.sparkSession
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(0, dtype=np.int64)
         for batch in batches:
-            for width, ids in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
-                got = np.bincount(np.frombuffer(ids.as_buffer(), dtype=f"<u{width}"))
+            for column in batch.column(0):
+                got = np.frombuffer(column.as_buffer(), dtype=np.int64)
                 total = np.pad(total, (0, max(0, len(got) - len(total))))
                 total[: len(got)] += got
         seen = np.flatnonzero(total)
         yield pa.record_batch([pa.array(seen.astype(np.int32)), pa.array(total[seen])], names=["id", "n"])
 
-    # a row for each id of the vocabulary at most
-    counts = plain.select("width", "ids").mapInArrow(count, "id int, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()
+    # each part counted its ids as it wrote them; a row for each id of the vocabulary at most comes to the driver
+    counts = plain.where("counts IS NOT NULL").select("counts").mapInArrow(count, "id int, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()
     totals = np.zeros(max([r["id"] for r in counts], default=0) + 1, dtype=np.int64)
     for r in counts:
         totals[r["id"]] = r["n"]
@@ -258,7 +265,7 @@ def write_token_files(docs: DataFrame, tokenizer_json: str, path: str, end_id: i
                 yield pa.record_batch([*one.columns[:6], pa.array([coder.encode(ids)], pa.binary())], names=["part", "block", "first", "n", "doc_ids", "lengths", "payload"])
 
     kind = dict(plain.dtypes)["doc_ids"]
-    packed = plain.mapInArrow(pack, f"part int, block long, first long, n long, doc_ids {kind}, lengths array<long>, payload binary")
+    packed = plain.where("n > 0").drop("counts").mapInArrow(pack, f"part int, block long, first long, n long, doc_ids {kind}, lengths array<long>, payload binary")
     with tidy_shuffles(spark):
         packed.write.option("compression", "none").parquet(f"{path}/blocks")
     discard(plain)
@@ -290,7 +297,7 @@ def read_token_files(spark, path: str, with_ids: bool = False) -> DataFrame:
                 ids = coder.decode(batch.column(4)[i].as_buffer().to_pybytes())
                 lengths = np.array(batch.column(3)[i].as_py(), dtype=np.int64)
                 edges = np.concatenate([[0], np.cumsum(lengths)])
-                crcs = [zlib.crc32(ids[a:b].astype("<u4").tobytes()) for a, b in zip(edges[:-1], edges[1:], strict=True)]
+                crcs = [zlib.crc32(ids[a:b]) for a, b in zip(edges[:-1], edges[1:], strict=True)]
                 columns = [batch.column(2)[i].values, pa.array(edges[:-1] + first + starts[part]), pa.array(lengths), pa.array(crcs, pa.int64())]
                 names = ["doc_id", "start", "n_tokens", "ids_crc32"]
                 if with_ids:

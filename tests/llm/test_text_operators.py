@@ -259,8 +259,9 @@ def test_token_files_keep_ids_and_refuse_damage(spark, texts):
     coder = token_io.Rans(token_io.quantise(np.bincount(ids)))
     data = coder.encode(ids)
     assert (coder.decode(data) == ids).all()
-    for k in range(-(-300_000 // (1024 * 256))):
-        assert (coder.decode(data, k, True) == ids[k * 1024 * 256 : (k + 1) * 1024 * 256]).all()
+    stride = token_io.LANES * token_io.STEPS
+    for k in range(-(-300_000 // stride)):
+        assert (coder.decode(data, k, True) == ids[k * stride : (k + 1) * stride]).all()
     broken = bytearray(data)
     broken[-1] ^= 1
     with pytest.raises(ValueError, match="checksum"):
