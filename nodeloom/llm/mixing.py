@@ -25,6 +25,8 @@ from .common import WORD, materialize
 BLOCK, FAN = 20_000, 2_000
 #: Documents of a source that the flight leaves to the landing, besides its own two.
 LANDING = 14
+#: Sources whose plan is broadcast; with more of them it is joined.
+SOURCES = 50_000
 EPS = 1e-9
 
 
@@ -149,8 +151,8 @@ def mix(
         whole = int(min(rate, limit) + EPS)
         rows.append((source, number, int(words), float(goal[source]), whole, max(0.0, min(rate, limit) - whole), -(-n // block)))
     plan = spark.createDataFrame(rows, "source string, source_no int, source_size long, target double, whole int, p double, blocks long")
-    # plan has a row per source, as collected above
-    units = sized.join(F.broadcast(plan), sized["source"].eqNullSafe(plan["source"])).drop(plan["source"])
+    # the plan has a row per source, as collected above
+    units = sized.join(F.broadcast(plan) if len(rows) <= SOURCES else plan, sized["source"].eqNullSafe(plan["source"])).drop(plan["source"])
     deal = F.xxhash64(F.lit(seed), "doc_id", "size", "source_no")
     units = units.withColumn("block", F.when(F.col("size") > 0, F.pmod(deal, F.greatest("blocks", F.lit(1)))).otherwise(F.lit(-1)))
     fields = "tie long, size long, row_no long, source_no int, block long, p double"

@@ -122,7 +122,7 @@ def _normal_equations(rows: DataFrame, waves: Fourier) -> np.ndarray:
                 some = pdf.iloc[start : start + 4096]
                 z = np.hstack([waves(_stack(some["stats"])), some["y"].to_numpy(dtype=float)[:, None]])
                 total += z.T @ z
-        yield pd.DataFrame({"sums": [total.tobytes()], "lane": [int(np.random.default_rng().integers(64))]})
+        yield pd.DataFrame({"sums": [total.tobytes()]})
 
     def add(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         total = np.zeros(side * side)
@@ -131,7 +131,7 @@ def _normal_equations(rows: DataFrame, waves: Fourier) -> np.ndarray:
                 total += np.frombuffer(b)
         yield pd.DataFrame({"sums": [total.tobytes()]})
 
-    parts = rows.mapInPandas(part, "sums binary, lane int").drop("lane")
+    parts = rows.mapInPandas(part, "sums binary")
     lanes = max(1, min(64, int(parts.rdd.getNumPartitions() ** 0.5)))
     # `lanes` matrices of fixed size come to the driver, whatever the number of rows
     found = parts.coalesce(lanes).mapInPandas(add, "sums binary").collect()
