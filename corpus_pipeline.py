@@ -23,8 +23,8 @@ def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the least id of each group of linked fingerprints."""
-    return simhash.drop_near_copies(docs)
+    """The document with the least id of each group of linked fingerprints: three bits, the most that two segments find."""
+    return simhash.drop_near_copies(docs, max_bits=3)
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
