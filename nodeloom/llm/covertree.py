@@ -280,3 +280,19 @@ def near_duplicates(
     with_links = rows.where("group IS NOT NULL").join(by_node, ["group", "unit"]).select("vec_id", "n_links", "component_id")
     alone = rows.where("group IS NULL").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return with_links.unionByName(alone).withColumn("kept", F.col("vec_id").eqNullSafe(F.col("component_id")))
+
+
+ORACLE = f"""
+WITH RECURSIVE v AS (
+  SELECT vec_id, label, CAST(embedding AS DOUBLE[]) AS x,
+         embedding IS NOT NULL AND label IS NOT NULL AND len(list_filter(embedding, lambda e: e IS NULL OR NOT isfinite(e))) = 0
+         AND len(list_filter(embedding, lambda e: e <> 0)) > 0 AS valid
+  FROM embeddings),
+e AS MATERIALIZED (
+  SELECT a.vec_id AS a, b.vec_id AS b FROM v a JOIN v b ON a.label = b.label AND a.vec_id <> b.vec_id AND a.valid AND b.valid
+  WHERE list_dot_product(a.x, b.x) / (sqrt(list_dot_product(a.x, a.x)) * sqrt(list_dot_product(b.x, b.x))) >= {THRESHOLD}),
+r(node, seen) AS (SELECT vec_id, vec_id FROM v UNION SELECT r.node, e.b FROM r JOIN e ON e.a = r.seen),
+c AS (SELECT node, min(seen) AS component_id FROM r GROUP BY node)
+SELECT vec_id, (SELECT count(*) FROM e WHERE e.a = v.vec_id) AS n_links, component_id, vec_id = component_id AS kept
+FROM v JOIN c ON c.node = v.vec_id
+"""

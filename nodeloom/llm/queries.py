@@ -56,4 +56,4 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op3_exact_dedup": exact_dedup.ORACLE}
+    return {"op2_cover_tree": covertree.ORACLE, "op3_exact_dedup": exact_dedup.ORACLE}
