@@ -331,21 +331,23 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     )
     discard(cut)
     single = texts.where("copies = 1")
-    by_key = (
+    by_key = materialize(
         found.where("copies = 1")
         .join(runs, ["seed", "context"])
         .select("key", F.explode(F.when(F.col("least") < 0, F.array(F.struct(F.lit(0).alias("low"), F.col("span").alias("high")))).otherwise(F.col("runs"))).alias("x"), "first")
         .groupBy("key")
-        .agg(F.collect_list(F.struct((F.col("first") + F.col("x.low")).alias("low"), (F.col("first") + F.col("x.high")).alias("high"))).alias("found"))
+        .agg(F.collect_list(F.struct((F.col("first") + F.col("x.low")).alias("low"), (F.col("first") + F.col("x.high")).alias("high"))).alias("found")),
+        "by_key",
     )
+    for frame in (found, contexts, runs):
+        discard(frame)
     settled = materialize(
         single.join(by_key, "key", "left").select("key", "text", "found").mapInArrow(
             _removed(length), "key binary, n_bytes long, n_removed long, runs array<struct<low: long, high: long>>, kept_sha256 string"
         ),
         "settled",
     )
-    for frame in (found, contexts, runs):
-        discard(frame)
+    discard(by_key)
     copied = texts.where("copies > 1").select(
         "key", F.length("text").cast("long").alias("n_bytes"), F.length("text").cast("long").alias("n_removed"),
         F.array(F.struct(F.lit(0).cast("long").alias("low"), F.length("text").cast("long").alias("high"))).alias("runs"), F.sha2(F.lit("").cast("binary"), 256).alias("kept_sha256"),
