@@ -312,10 +312,12 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     one = F.min(F.struct("key", "first", "span", "seed_at"))
     contexts = materialize(found.groupBy("seed", "context").agg(F.sum("copies").alias("n"), one.alias("at")), "contexts")
     shared = contexts.groupBy("seed").agg(F.count(F.lit(1)).alias("n_contexts")).where("n_contexts > 1")
-    wanted = contexts.join(shared, "seed").select("seed", "context", "n_contexts", "at.*")
+    wanted = materialize(contexts.join(shared, "seed").select("seed", "context", "n_contexts", "at.*"), "wanted")
+    equal = materialize(contexts.where("n > 1").select("seed", "context"), "equal")
+    discard(contexts)
     by_text = wanted.groupBy("key").agg(F.collect_list(F.struct("seed", "context", "seed_at", "first", "span")).alias("places"))
     cut = materialize(texts.join(by_text, "key").select("text", "places").mapInArrow(_cut_contexts(length), "seed long, context long, seed_at int, text binary"), "cut")
-    sized = cut.join(shared, "seed")
+    sized = cut.join(wanted.select("seed", "n_contexts").distinct(), "seed")
     usual = sized.where(F.col("n_contexts") <= crowd).select("seed", "context", "seed_at", "text")
     differing = (
         usual.repartition("seed").sortWithinPartitions("seed").mapInArrow(_scan_groups(length), "seed long, context long, lows array<int>, highs array<int>")
@@ -325,11 +327,12 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     again = each.join(each.groupBy("hash").count().where("count > 1"), "hash", "left_semi")
     partial = differing.select("seed", "context", F.explode(F.arrays_zip("lows", "highs")).alias("x")).select("seed", "context", F.col("x.lows").alias("low"), F.col("x.highs").alias("high"))
     partial = partial.unionByName(again.select("seed", "context", "low", F.col("low").alias("high")))
-    whole = contexts.where("n > 1").select("seed", "context", F.lit(0).alias("low"), F.lit(-1).alias("high"))
+    whole = equal.select("seed", "context", F.lit(0).alias("low"), F.lit(-1).alias("high"))
     runs = materialize(
         partial.unionByName(whole).groupBy("seed", "context").agg(F.min("high").alias("least"), F.collect_list(F.struct("low", "high")).alias("runs")), "runs"
     )
-    discard(cut)
+    for frame in (cut, wanted, equal):
+        discard(frame)
     single = texts.where("copies = 1")
     by_key = materialize(
         found.where("copies = 1")
@@ -339,7 +342,7 @@ def repeated_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
         .agg(F.collect_list(F.struct((F.col("first") + F.col("x.low")).alias("low"), (F.col("first") + F.col("x.high")).alias("high"))).alias("found")),
         "by_key",
     )
-    for frame in (found, contexts, runs):
+    for frame in (found, runs):
         discard(frame)
     settled = materialize(
         single.join(by_key, "key", "left").select("key", "text", "found").mapInArrow(
