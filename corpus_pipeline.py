@@ -8,7 +8,8 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from nodeloom.llm import bpe, exact_dedup, mixing, quality, simhash
+from nodeloom.llm import bpe, exact_dedup, mixing, quality
+from nodeloom.llm import near_copies as near
 from nodeloom.llm.common import materialize, table
 
 
@@ -23,8 +24,8 @@ def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the least id of each group of linked fingerprints: three bits, the most that two segments find."""
-    return simhash.drop_near_copies(docs, max_bits=3)
+    """The document with the least id of each group linked by five-word shingle sets with a Jaccard index of 0.8 or more."""
+    return near.drop_near_copies(docs)
 
 
 def source_mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
