@@ -59,7 +59,7 @@ def statistics(text: str | None) -> np.ndarray:
         np.log1p(n) / 4, np.log1p(size / n), kinds[1] / size, kinds[2] / size * 4, kinds[3] / size * 8, kinds[4] / size * 4,
         kinds[5] / size * 8, kinds[0] / size * 8, plain * 2, np.log(len(distinct)) / np.log(n + 1), marked / n * 2, np.log1p(longest) / 2,
         twins * 4, np.log1p(len(lines)) / 3, np.log1p(n / len(lines)) / 3, len(set(lines)) / len(lines), raw.count(b"|") / n * 2,
-        raw.count(b"http") / n * 8, sum(w.isupper() for w in words[:: max(1, n // 512)]) / min(n, len(words[:: max(1, n // 512)])), float(lines[-1].rstrip()[-1:] in (b".", b"!", b"?")),
+        raw.count(b"http") / n * 8, sum(w.isupper() for w in words) / n, float(lines[-1].rstrip()[-1:] in (b".", b"!", b"?")),
     )
     return out
 

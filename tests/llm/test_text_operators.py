@@ -387,3 +387,9 @@ def test_html_query(spark):
 def test_empty_tables_and_rows_of_nulls(spark, query):
     assert query(frame(spark, []).repartition(2)).count() == 0
     assert query(frame(spark, [(None, None, None)] * 3)).count() == 3
+
+
+def test_quality_counts_upper_case_over_all_words():
+    text = " ".join(["LOUD" if i % 2 else "quiet" for i in range(4096)])
+    assert quality.statistics(text)[18] == pytest.approx(0.5)
+    assert quality.statistics("x " * 3000 + "Y " + "x " * 3000)[18] == pytest.approx(1 / 6001)
