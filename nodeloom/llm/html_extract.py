@@ -11,6 +11,7 @@ from __future__ import annotations
 
 import html
 import re
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -37,6 +38,14 @@ OUTSIDE_WORDS = frozenset(
     "newsletter notice notification outbrain overlay pager pagination paywall popup promo promoted promotion recommended related replies "
     "respond search share sharing sidebar signup skip social sponsor sponsored subscribe subscription taboola tags toolbar topbar widget".split()
 )
+#: Tags whose start ends open elements of the first set, down to the nearest open one of the second.
+_CELLS, _ROWS, _GROUPS = {"td", "th"}, {"tr", "td", "th"}, {"tbody", "thead", "tfoot"}
+ENDS = {
+    **dict.fromkeys(("td", "th"), (_CELLS, {"table", "tr"})),
+    "tr": (_ROWS, {"table", *_GROUPS}),
+    **dict.fromkeys(sorted(_GROUPS), (_ROWS | _GROUPS, {"table"})),
+    **dict.fromkeys(("dt", "dd"), ({"dt", "dd"}, {"dl", "table", "td", "th"})),
+}
 KEPT_TAGS = frozenset("article body html main".split())
 GOOD_STOP, SOME_STOP, LINKS, SHORT, LONG = 0.30, 0.10, 0.50, 70, 200
 
@@ -85,8 +94,13 @@ def blocks(page: str) -> list[Block]:
     """The blocks of a page that are not known to be outside the article, in page order."""
     out: list[Block] = []
     stack: list[tuple[str, bool, bool]] = []  # tag, outside, inside an article
+    places: dict[str, list[int]] = {}  # where in the stack each tag is open
     anchors, at, length, current = 0, 0, len(page), None
 
+    def close(k: int) -> None:
+        while len(stack) > k:
+            places[stack.pop()[0]].pop()
+
     def text(raw: str) -> None:
         nonlocal current
         if stack and stack[-1][1] or not raw:
@@ -126,16 +140,21 @@ def blocks(page: str) -> list[Block]:
         if tag == "a":
             anchors = max(0, anchors + (-1 if closing else 1))
         if closing:
-            for k in range(len(stack) - 1, max(-1, len(stack) - 200), -1):
-                if stack[k][0] == tag:
-                    del stack[k:]
-                    break
+            if places.get(tag):
+                close(places[tag][-1])
         elif tag not in VOID_TAGS and not attributes.rstrip().endswith("/"):
-            if tag in ("p", "li", "td", "th", "tr", "dd", "dt", "option"):  # their end tags may be left out
+            if tag in ("p", "li", "option"):  # their end tags may be left out
                 if stack and stack[-1][0] == tag:
-                    stack.pop()
+                    close(len(stack) - 1)
+            elif tag in ENDS:
+                ended, bounds = ENDS[tag]
+                bound = max((places[t][-1] for t in bounds if places.get(t)), default=-1)
+                found_at = [places[t][bisect_right(places[t], bound)] for t in ended if places.get(t) and places[t][-1] > bound]
+                if found_at:
+                    close(min(found_at))
             above = stack[-1] if stack else ("", False, False)
             inside = above[2] or tag in ("article", "main")
+            places.setdefault(tag, []).append(len(stack))
             stack.append((tag, above[1] or _outside(tag, attributes, above[2]), inside))
     kept = []
     for block in out:

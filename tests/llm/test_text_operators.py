@@ -393,3 +393,16 @@ def test_quality_counts_upper_case_over_all_words():
     text = " ".join(["LOUD" if i % 2 else "quiet" for i in range(4096)])
     assert quality.statistics(text)[18] == pytest.approx(0.5)
     assert quality.statistics("x " * 3000 + "Y " + "x " * 3000)[18] == pytest.approx(1 / 6001)
+
+
+@pytest.mark.parametrize("filling", ["<table>" + "<tr><td>cell" * 150 + "</table>", "<dl>" + "<dt>a<dd>b" * 150 + "</dl>", "<font>" * 300, "<b><span>x" * 300])
+def test_html_closes_elements_at_any_depth(filling):
+    prose = "It is the end of the road and there is no way to go on from it. " * 5
+    assert html_extract.main_text(f"<body><nav>{filling}</nav><article><p>{prose}</p></article></body>") == prose.strip()
+
+
+def test_html_ends_rows_and_terms_that_are_left_open():
+    page = "<table><tr><td class=ad>Buy<td>the cell of it<tr><td>and the next</table><dl><dt class=ad>Buy<dd>it is the term</dl>"
+    assert [b.text for b in html_extract.blocks(page)] == ["the cell of it", "and the next", "it is the term"]
+    nested = "<table><tr><td class=ad><table><tr><td>in<tr><td>in</table>still in<td>out</table>"
+    assert [b.text for b in html_extract.blocks(nested)] == ["out"]
