@@ -4,7 +4,8 @@ The page is cut into blocks at block-level tags. Parts that are never the articl
 notices, adverts, forms, scripts, comments of readers) are known by their tags, roles and the words of class and id.
 Pass one classes each remaining block by length, link density and stop-word density as good, bad or short. Pass two
 lets short, undecided blocks inherit: where the nearest decided neighbours agree, their label, else that of the nearer
-one, a tie going to good. Inside an article or main element the prior is good: only link lists are bad there.
+one, a tie going to good. Article and main elements are a prior and no more: what is undecided there is bad only
+between two bad blocks inside as well. Blocks outside them are classed like those of pages without such elements.
 """
 
 from __future__ import annotations
@@ -164,32 +165,29 @@ def blocks(page: str) -> list[Block]:
     return kept
 
 
-def _first(block: Block, article: bool) -> str:
-    """Pass one: good, bad or short."""
+def _first(block: Block) -> str:
+    """Pass one: good, bad or short. Inside an article or main element what the densities leave open is short, not bad."""
     size = len(block.text)
     links = block.linked / size
-    if links > LINKS:
-        return "bad"
-    if article:
-        return "good"
     words = _WORD.findall(block.text.lower())
     stop = sum(w in FUNCTION_WORDS for w in words) / max(1, len(words))
+    if links > LINKS:
+        return "short" if block.inside and size >= SHORT and stop >= SOME_STOP else "bad"
     if size < SHORT or block.heading:
         return "short"
     if stop >= GOOD_STOP:
         return "good"
     if stop >= SOME_STOP:
-        return "good" if size >= LONG else "short"
+        return "good" if size >= LONG or block.inside else "short"
+    if block.inside:
+        return "short"
     return "bad" if links > 0.2 or size < LONG else "short"
 
 
 def main_text(page: str | None) -> str:
     """The main text of a page, a line a block; empty if there is none."""
     found = blocks(page or "")
-    article = [b for b in found if b.inside]
-    if article:  # the page says where its article is
-        found = article
-    labels = [_first(b, b.inside) for b in found]
+    labels = [_first(b) for b in found]
     decided = [k for k, x in enumerate(labels) if x != "short"]
     final = list(labels)
     if not decided:
@@ -203,7 +201,10 @@ def main_text(page: str | None) -> str:
             if label != "short":
                 continue
             after = decided[place] if place < len(decided) else None
-            if found[k].heading and after is not None:  # a heading goes with what follows it
+            if found[k].inside:  # the prior: bad only between bad ones of its own element
+                among = before is not None and after is not None and found[before].inside and found[after].inside
+                final[k] = "bad" if among and labels[before] == labels[after] == "bad" else "good"
+            elif found[k].heading and after is not None:  # a heading goes with what follows it
                 final[k] = labels[after]
             elif before is None or after is None:
                 final[k] = labels[after if before is None else before]

@@ -406,3 +406,14 @@ def test_html_ends_rows_and_terms_that_are_left_open():
     assert [b.text for b in html_extract.blocks(page)] == ["the cell of it", "and the next", "it is the term"]
     nested = "<table><tr><td class=ad><table><tr><td>in<tr><td>in</table>still in<td>out</table>"
     assert [b.text for b in html_extract.blocks(nested)] == ["out"]
+
+
+def test_html_article_is_a_prior_only():
+    prose = "It is the end of the road and there is no way to go on from it. " * 5
+    cards = "<article><p>Teaser</p></article><article><p>Another</p></article>"
+    assert prose.strip() in html_extract.main_text(f"<body>{cards}<div>{prose}</div><div>{prose}</div></body>").split("\n")
+    source = "This is the source of the figures that are in the text and of all that is said on it"
+    found = html_extract.main_text(f"<main><p>{prose}</p><p><a href=x>{source}</a></p><p>{prose}</p></main>")
+    assert found.split("\n") == [prose.strip(), source, prose.strip()]
+    menu = "".join(f"<p><a href=x>Menu {i}</a></p>" for i in range(3))
+    assert html_extract.main_text(f"<main><p>{prose}</p>{menu}<p>Menu</p>{menu}</main>") == prose.strip()
