@@ -18,9 +18,11 @@ WORD = r"[^\x20\x09-\x0D]+"
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder of spark.checkpoint.dir; where that is unset (tests), a temporary one, set for the session."""
+    """The folder of spark.checkpoint.dir. Where that is unset, a local master gets a temporary one; a cluster is refused."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         made = tempfile.mkdtemp(prefix="nodeloom-")
         atexit.register(shutil.rmtree, made, ignore_errors=True)
         folder = f"file://{made}"
@@ -51,9 +53,31 @@ def materialize(df: DataFrame, tag: str, compression: str = "zstd") -> DataFrame
         df.write.option("compression", compression).parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out.nodeloom_path = path
+    for made in _OPEN:
+        made.append(out)
     return out
 
 
+#: Frames materialized within each open scratch block.
+_OPEN: list[list[DataFrame]] = []
+
+
+@contextlib.contextmanager
+def scratch() -> Iterator[list[DataFrame]]:
+    """Delete what is materialized within, at the end, but for the frames that the block appends to the list it gets."""
+    made: list[DataFrame] = []
+    kept: list[DataFrame] = []
+    _OPEN.append(made)
+    try:
+        yield kept
+    finally:
+        _OPEN.pop()
+        stay = {df.nodeloom_path for df in kept}
+        for df in made:
+            if df.nodeloom_path not in stay:
+                discard(df)
+
+
 def discard(df: DataFrame) -> None:
     """Delete the files of a materialized frame that no later plan reads."""
     spark, path = df.sparkSession, getattr(df, "nodeloom_path", None)
@@ -62,6 +86,35 @@ def discard(df: DataFrame) -> None:
         target.getFileSystem(spark._jsc.hadoopConfiguration()).delete(target, True)
 
 
+def spare(df: DataFrame, name: str) -> str:
+    """A column name that `df` does not have, whatever the case of its letters."""
+    taken = {c.lower() for c in df.columns}
+    while name in taken:
+        name += "_"
+    return name
+
+
+def row_keys(docs: DataFrame, id_col: str, tag: str) -> tuple[DataFrame, str]:
+    """`docs` and the name of a whole-number column that tells all its rows apart.
+
+    That is the id where it is a whole number, never null and never repeated: a count of ids alone tells. Otherwise the
+    rows are numbered and written, so that the numbers hold however often the frame is read.
+    """
+    if docs.schema[id_col].dataType.typeName() in ("long", "integer", "short", "byte"):
+        ids = docs.select(F.col(id_col).cast("long").alias("id")).groupBy("id").agg(F.count(F.lit(1)).alias("n"))
+        if not ids.where("id IS NULL OR n > 1").limit(1).count():
+            return docs, id_col
+    key = spare(docs, "row_key")
+    return materialize(docs.withColumn(key, F.monotonically_increasing_id()), tag), key
+
+
+def chosen(rows: DataFrame, key: str, keys: DataFrame, docs: DataFrame) -> DataFrame:
+    """The rows whose key is among the one column of `keys`, with the columns of `docs`, which `rows` came from."""
+    name = spare(rows, "chosen")
+    out = rows.join(keys.toDF(name), F.col(key) == F.col(name), "left_semi")
+    return out if key in docs.columns else out.drop(key)
+
+
 def fold(id_col: str, modulus: int) -> Column:
     """crc32 of the id as text, modulo `modulus`; a null id counts as the empty text (fold 0)."""
     return F.crc32(F.coalesce(F.col(id_col).cast("string"), F.lit("")).cast("binary")) % modulus

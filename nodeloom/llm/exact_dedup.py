@@ -11,14 +11,14 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACE, materialize
+from .common import SPACE, chosen, materialize, row_keys
 
 #: A digest with at least this share of the rows is a heavy hitter; it bounds the broadcast at 1/SUPPORT rows.
 SUPPORT = 0.002
 
 
-def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", support: float = SUPPORT) -> DataFrame:
-    """One row per input row: doc_id, keep_id, group_size, kept, text_sha256.
+def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", support: float = SUPPORT, key_col: str | None = None) -> DataFrame:
+    """One row per input row: doc_id, keep_id, group_size, kept, text_sha256, and row_key where `key_col` names a unique column.
 
     Texts are equal when identical after each run of ASCII white space became one space; a null text counts as empty.
     Of equal texts the smallest id stays; null ids come last; of repeated rows with one id exactly one is kept, so
@@ -28,7 +28,8 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         docs.select(
             F.col(id_col).alias("doc_id"),
             F.sha2(F.regexp_replace(F.coalesce(F.col(text_col), F.lit("")), SPACE, " "), 256).alias("text_sha256"),
-        ).withColumn("row_no", F.monotonically_increasing_id()),
+            (F.col(key_col) if key_col else F.monotonically_increasing_id()).cast("long").alias("row_no"),
+        ),
         "digests",
     )
     least = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row_no"))
@@ -36,7 +37,7 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     candidates = digests.stat.freqItems(["text_sha256"], support).select(F.explode("text_sha256_freqItems").alias("text_sha256"))
     floor = max(2.0, support * digests.count())
     winners = materialize(
-        digests.join(F.broadcast(candidates), "text_sha256", "left_semi").groupBy("text_sha256").agg(*summary).where(F.col("group_size") >= floor).coalesce(1),
+        digests.join(F.broadcast(candidates), "text_sha256", "left_semi").groupBy("text_sha256").agg(*summary).where(F.col("group_size") >= floor),
         "winners",
     )
     heavy = digests.join(F.broadcast(winners), "text_sha256")
@@ -48,20 +49,14 @@ def exact_dedup(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         "group_size",
         (F.col("row_no") == F.col("first.row_no")).alias("kept"),
         "text_sha256",
+        *([F.col("row_no").alias("row_key")] if key_col else []),
     )
 
 
 def drop_exact_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of `docs` that exact_dedup keeps, with all their columns. Rows repeated whole, id included, become one."""
-    kept = exact_dedup(docs, id_col, text_col).where("kept").select(F.col("doc_id").alias("_keep_id"), F.col("text_sha256").alias("_keep_sha"))
-    digest = F.sha2(F.regexp_replace(F.coalesce(F.col(text_col), F.lit("")), SPACE, " "), 256)
-    marked = docs.withColumn("_sha", digest)
-    same = (F.col("_sha") == F.col("_keep_sha")) & F.col(id_col).eqNullSafe(F.col("_keep_id"))
-    out = marked.join(kept, same, "left_semi")
-    repeated = docs.groupBy(id_col).count().where("count > 1").limit(1).count()
-    if repeated:
-        out = out.dropDuplicates([id_col, "_sha"])
-    return out.drop("_sha")
+    """The rows of `docs` that exact_dedup keeps, with all their columns; of rows repeated whole, id included, one."""
+    rows, key = row_keys(docs, id_col, "rows-digested")
+    return chosen(rows, key, exact_dedup(rows, id_col, text_col, key_col=key).where("kept").select("row_key"), docs)
 
 
 ORACLE = r"""

@@ -16,10 +16,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import WORD, materialize
+from .common import WORD, materialize, row_keys, spare
 
 #: Documents in a block of the first flight, and blocks whose leftovers fly together afterwards.
 BLOCK, FAN = 20_000, 2_000
@@ -30,25 +30,45 @@ SOURCES = 50_000
 EPS = 1e-9
 
 
-def targets(sizes: dict, weights: tuple[float, ...] = (1.0, 2.0, 3.0), limit: float = 3.0) -> dict:
-    """The words each source shall give. Sources by code point, null last, have the weights in turn.
+def plan(sized: DataFrame, weights: tuple[float, ...], limit: float, block: int) -> DataFrame:
+    """One row per source: source, source_no, source_size, target, whole, p, blocks. No source's row goes to the driver.
 
-    A target stops at `limit` times the source's size; the excess is shared again by weight among the others, until
-    none is above. Sources without words get nothing.
+    Each gets a share of all words by its weight. A target stops at `limit` times the source's size; the excess is
+    shared again by weight among the others, until none is above. Sources without words get nothing.
+
+    Sources are numbered by code point, null last, within ranges of the sorted table and by the ranges' offsets, so no
+    task sorts them all. A round of sharing is one sum over the table: a source is at its limit if the level of words
+    for a unit of weight would give it more; levels only rise, and no round without a new source at its limit follows.
     """
-    order = sorted((s for s in sizes if s is not None)) + [None] * (None in sizes)
-    weight = {s: weights[i % len(weights)] for i, s in enumerate(order)}
-    total, out, open_ = float(sum(sizes.values())), {}, set(order)
-    while open_:
-        left, heavy = total - sum(out.values()), sum(weight[s] for s in open_)
-        share = {s: left * weight[s] / heavy for s in open_}
-        over = [s for s in open_ if share[s] > limit * sizes[s]]
-        if not over:
-            out |= share
+    none = F.col("source").isNull()
+    totals = sized.groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("words"))
+    dealt = totals.repartitionByRange(none, F.col("source")).withColumn("part", F.spark_partition_id())
+    dealt = materialize(dealt, "sources")
+    before = dealt.groupBy("part").agg(F.count(F.lit(1)).alias("rows")).withColumn("before", F.sum("rows").over(Window.orderBy("part")) - F.col("rows"))
+    within = F.row_number().over(Window.partitionBy("part").orderBy(none, "source"))
+    turn = F.element_at(F.array(*[F.lit(float(w)) for w in weights]), (F.col("source_no") % len(weights) + 1).cast("int"))
+    # `before` has a row per partition of the shuffle above
+    numbered = dealt.withColumn("within", within).join(F.broadcast(before.select("part", "before")), "part").select(
+        "source", (F.col("before") + F.col("within") - 1).cast("int").alias("source_no"), "words", "n"
+    )
+    table = materialize(numbered.withColumn("weight", turn).withColumn("most", F.lit(float(limit)) * F.col("words")), "source-weights")
+    total = float(table.agg(F.sum("words")).first()[0] or 0)
+    level, full = 0.0, -1
+    while True:
+        over = F.col("weight") * level > F.col("most")
+        row = table.agg(
+            F.sum(F.when(over, F.col("most"))).alias("given"), F.sum(F.when(~over, F.col("weight"))).alias("open"), F.count(F.when(over, 1)).alias("full")
+        ).first()
+        if row["full"] == full or not row["open"]:
             break
-        out |= {s: limit * sizes[s] for s in over}
-        open_ -= set(over)
-    return out
+        full, level = row["full"], (total - (row["given"] or 0.0)) / row["open"]
+    target = F.least(F.col("weight") * level, F.col("most"))
+    rate = F.coalesce(F.try_divide(target, F.col("words")), F.lit(0.0))
+    whole = F.floor(rate + EPS).cast("int")
+    return table.select(
+        "source", "source_no", F.col("words").alias("source_size"), target.alias("target"), whole.alias("whole"),
+        F.greatest(F.lit(0.0), rate - whole).alias("p"), F.ceil(F.col("n") / block).alias("blocks"),
+    )
 
 
 def _draws(seed: int, key: str, n: int) -> np.ndarray:
@@ -125,8 +145,9 @@ def mix(
     limit: float = 3.0,
     seed: int = 42,
     block: int = BLOCK,
+    key_col: str | None = None,
 ) -> DataFrame:
-    """One row per input row: doc_id, size, source_size, target, taken.
+    """One row per input row: doc_id, size, source_size, target, taken, and row_key where `key_col` names a unique column.
 
     `size` counts words (a null text has none), `taken` is size times the number of times the mix repeats the document,
     at most `limit` times. A null source is a source of its own, last in order. The result depends on the rows alone,
@@ -138,25 +159,18 @@ def mix(
             F.col(id_col).alias("doc_id"),
             F.col(source_col).cast("string").alias("source"),
             F.coalesce(F.regexp_count(F.col(text_col), F.lit(WORD)), F.lit(0)).cast("long").alias("size"),
-        ).withColumn("row_no", F.monotonically_increasing_id()),
+            (F.col(key_col) if key_col else F.monotonically_increasing_id()).cast("long").alias("row_no"),
+        ),
         "sized",
     )
-    spark = docs.sparkSession
-    # one row per source; the number of sources is part of the mix's own description
-    totals = {r["source"]: (r["n"], r["words"]) for r in sized.groupBy("source").agg(F.count(F.lit(1)).alias("n"), F.sum("size").alias("words")).collect()}
-    goal = targets({s: w for s, (_, w) in totals.items()}, weights, limit)
-    rows = []
-    for number, (source, (n, words)) in enumerate(sorted(totals.items(), key=lambda x: (x[0] is None, x[0] or ""))):
-        rate = goal[source] / words if words else 0.0
-        whole = int(min(rate, limit) + EPS)
-        rows.append((source, number, int(words), float(goal[source]), whole, max(0.0, min(rate, limit) - whole), -(-n // block)))
-    plan = spark.createDataFrame(rows, "source string, source_no int, source_size long, target double, whole int, p double, blocks long")
-    # the plan has a row per source, as collected above
-    units = sized.join(F.broadcast(plan) if len(rows) <= SOURCES else plan, sized["source"].eqNullSafe(plan["source"])).drop(plan["source"])
+    sources = materialize(plan(sized, weights, limit, block), "plan")
+    found = sources.agg(F.count(F.lit(1)).alias("n"), F.max("blocks").alias("most")).first()
+    # the plan is broadcast up to a number of sources, as counted above
+    units = sized.join(F.broadcast(sources) if found["n"] <= SOURCES else sources, sized["source"].eqNullSafe(sources["source"])).drop(sources["source"])
     deal = F.xxhash64(F.lit(seed), "doc_id", "size", "source_no")
     units = units.withColumn("block", F.when(F.col("size") > 0, F.pmod(deal, F.greatest("blocks", F.lit(1)))).otherwise(F.lit(-1)))
     fields = "tie long, size long, row_no long, source_no int, block long, p double"
-    most, level = max([r[6] for r in rows], default=1), 0
+    most, level = found["most"] or 1, 0
     flying = units.where(f"size > 0 AND p > {EPS} AND p < {1 - EPS}").select(
         deal.alias("tie"), "size", "row_no", "source_no", "block", "p"
     )
@@ -173,16 +187,21 @@ def mix(
         extra = extra.unionByName(part)
     extra = extra.where("p >= 1").select("row_no", F.lit(1).alias("extra"))
     return units.join(extra, "row_no", "left").select(
-        "doc_id", "size", "source_size", "target", (F.col("size") * (F.col("whole") + F.coalesce("extra", F.lit(0)))).alias("taken")
+        "doc_id", "size", "source_size", "target", (F.col("size") * (F.col("whole") + F.coalesce("extra", F.lit(0)))).alias("taken"),
+        *([F.col("row_no").alias("row_key")] if key_col else []),
     )
 
 
 def mixed_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", source_col: str = "source") -> DataFrame:
-    """`docs` as the mix takes them: each row as often as it is taken, rows not taken left out. Rows without words stay once."""
-    taken = mix(docs, id_col, text_col, source_col).select(F.col("doc_id").alias("_id"), F.when(F.col("size") > 0, F.expr("taken div size")).otherwise(1).alias("_times"))
-    return (
-        docs.join(taken.groupBy("_id").agg(F.max("_times").alias("_times")), F.col(id_col).eqNullSafe(F.col("_id")))
-        .withColumn("_copy", F.explode(F.expr("sequence(1, cast(greatest(_times, 1) as int))")))
-        .where("_times > 0")
-        .drop("_id", "_times", "_copy")
-    )
+    """`docs` as the mix takes them: each row as often as it is taken, rows not taken left out. Rows without words stay once.
+
+    Rows are told apart even where ids repeat or are null.
+    """
+    rows, key = row_keys(docs, id_col, "rows-mixed")
+    row, times = spare(rows, "row"), spare(rows, "times")
+    taken = mix(rows, id_col, text_col, source_col, key_col=key)
+    counted = taken.select(F.col("row_key").alias(row), F.when(F.col("size") > 0, F.expr("taken div size")).otherwise(1).cast("int").alias(times)).where(F.col(times) > 0)
+    out = rows.join(counted, F.col(key) == F.col(row))
+    copy = spare(out, "copy")
+    out = out.withColumn(copy, F.explode(F.sequence(F.lit(1), F.col(times)))).drop(row, times, copy)
+    return out if key in docs.columns else out.drop(key)

@@ -1,10 +1,12 @@
-"""Near copies by an exact self-join on shingle sets: every pair whose sets of WORDS-word shingles share 4/5 of their union.
-
-Shingles are put in one order, rare ones first. Two sets with a Jaccard index of 0.8 or more share a shingle among the
-first n - ceil(4 n / 5) + 1 of each, so an equality join on those finds every pair; the whole sets verify it. The order
-comes from SLOTS counters of hashed shingles: any order gives the same pairs, a rare-first one gives few candidates.
-Where many sets share a shingle, PIVOTS of them at a time are compared with all others, and what is by then in one
-component is not compared again; this goes on until all pairs are compared or joined, none is left out.
+"""Near copies: SimHash first, verified on whole shingle sets, then an exact join for the pairs that no radius of SimHash finds.
+
+Two texts are near copies if their sets of WORDS-word shingles have a Jaccard index of 0.8 or more. Fingerprints of the
+same shingles within BITS bits, found by the deletion-variant index, propose pairs; the sets verify them, and what they
+join is not compared again. Pairs further apart than any indexable radius are found exactly: with shingles in one order,
+rare ones first, two such sets share a shingle among the first n - ceil(4 n / 5) + 1 of each, so an equality join on
+those finds every pair, and the sets verify it. The order comes from SLOTS counters of hashed shingles: any order gives
+the same pairs, a rare-first one gives few candidates. Where many sets share a shingle, PIVOTS of them at a time are
+compared with all others that are not yet in their component, until all pairs are compared or joined; none is left out.
 """
 
 from __future__ import annotations
@@ -17,42 +19,46 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import discard, materialize
+from . import simhash
+from .common import chosen, discard, materialize, row_keys
 from .components import connected_components
 
+BITS = 3
 WORDS, SLOTS, PIECE, PIVOTS, LANES = 5, 1 << 20, 1024, 64, 8
 
 
-def shingles(text: str | None, words: int = WORDS) -> np.ndarray:
-    """The distinct 64-bit hashes of the word shingles of a text, A-Z lowered, in order; a shorter text is one shingle."""
-    tokens = (text or "").encode("utf-8", "surrogatepass").lower().split()
-    if not tokens:
-        return np.zeros(0, dtype=np.uint64)
-    if len(tokens) < words:
-        parts = [b" ".join(tokens)]
-    else:
-        parts = list(map(b" ".join, zip(*(tokens[i:] for i in range(words)), strict=False)))
-    return np.unique(np.fromiter((xxhash.xxh64_intdigest(s, 42) for s in parts), dtype=np.uint64, count=len(parts)))
-
-
 def _lists(found: list[np.ndarray]) -> pa.ListArray:
     offsets = np.concatenate([[0], np.cumsum([len(x) for x in found])]).astype(np.int32)
     return pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate([*found, np.zeros(0, dtype=np.uint64)]).view(np.int64)))
 
 
-def shingle_sets(docs: DataFrame, id_col: str, text_col: str, words: int = WORDS) -> DataFrame:
-    """doc_id, node (a hash of the set) and the set, for every row; texts of one set are one node."""
+def shingle_sets(docs: DataFrame, id_col: str, text_col: str, words: int = WORDS, key_col: str | None = None) -> DataFrame:
+    """doc_id, row_key, node (a hash of the set), fp (the SimHash) and the set, for every row; texts of one set are one node."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for start in range(0, len(batch), 1024):
                 some = batch.slice(start, 1024)
-                found = [shingles(x.as_py(), words) for x in some.column(1)]
+                hashes = [simhash.shingle_hashes(x.as_py(), words) for x in some.column(1)]
+                prints = np.array([simhash.majority(x) for x in hashes], dtype=np.uint64).view(np.int64)
+                found = [np.unique(x) for x in hashes]
                 nodes = np.array([xxhash.xxh64_intdigest(x.tobytes(), 42) for x in found], dtype=np.uint64).view(np.int64)
-                yield pa.record_batch([some.column(0), pa.array(nodes), _lists(found)], names=["doc_id", "node", "shingles"])
+                yield pa.record_batch([some.column(0), some.column(2), pa.array(nodes), pa.array(prints), _lists(found)], names=["doc_id", "row_key", "node", "fp", "shingles"])
 
     kind = docs.schema[id_col].dataType.simpleString()
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string")).mapInArrow(run, f"doc_id {kind}, node long, shingles array<long>")
+    key = (F.col(key_col) if key_col else F.monotonically_increasing_id()).cast("long").alias("row_key")
+    rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string"), key)
+    return rows.mapInArrow(run, f"doc_id {kind}, row_key long, node long, fp long, shingles array<long>")
+
+
+def _proposed(sets: DataFrame) -> DataFrame:
+    """Pairs (a, b) of nodes whose fingerprints lie within BITS bits: one pair for each two linked fingerprints, and each node with the least of its own fingerprint."""
+    nodes = sets.where("size(shingles) > 0").select("node", "fp").groupBy("node").agg(F.min("fp").alias("fp"))
+    least = nodes.groupBy("fp").agg(F.min("node").alias("least"))
+    own = nodes.join(least, "fp").where("node <> least").select(F.col("least").alias("a"), F.col("node").alias("b"))
+    linked = simhash.links(least.select("fp"), BITS).select(F.col("a").alias("fa"), F.col("b").alias("fb"))
+    ends = linked.join(least.toDF("fa", "x"), "fa").join(least.toDF("fb", "y"), "fb")
+    return own.unionByName(ends.select(F.least("x", "y").alias("a"), F.greatest("x", "y").alias("b")))
 
 
 def _levels(sets: DataFrame) -> np.ndarray:
@@ -114,21 +120,22 @@ def _verified(candidates: DataFrame, sets: DataFrame) -> DataFrame:
     return out
 
 
-def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row per input row: doc_id and component_id, the least doc_id reachable by pairs of Jaccard index 0.8 or more.
+def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", key_col: str | None = None) -> DataFrame:
+    """One row per input row: doc_id, component_id (the least doc_id reachable by pairs of Jaccard index 0.8 or more), kept, row_key.
 
     Null texts count as empty; texts without words are copies of each other. A null doc_id keeps its row and is never
-    the least id unless all ids of its component are null. Repeated rows stay. An empty table gives no rows.
+    the least id unless all ids of its component are null. Repeated rows stay rows of their own: `kept` marks one row
+    of each component, that of the least id and, of rows that share it, the least row_key (the column `key_col`, or the
+    row's place). An empty table gives no rows.
     """
-    sets = materialize(shingle_sets(docs, id_col, text_col), "shingle-sets")
+    sets = materialize(shingle_sets(docs, id_col, text_col, key_col=key_col), "shingle-sets")
+    edges = _verified(materialize(_proposed(sets), "proposed"), sets)
+    groups = connected_components(edges, "a", "b")
     prefixes = _prefixes(sets, _levels(sets)).groupBy("key", "node").agg(F.min("size").alias("size"), F.min("place").alias("place"))
     by_key = Window.partitionBy("key")
-    members = materialize(
-        prefixes.withColumn("n", F.count(F.lit(1)).over(by_key)).where("n > 1").withColumn("rank", F.row_number().over(by_key.orderBy("node")) - 1).withColumn("component", F.col("node")),
-        "members",
-    )
-    edges, done = None, 0
-    while True:
+    members = _open(prefixes, groups, by_key)
+    done = 0
+    while not members.isEmpty():
         left = members.where(F.col("rank").between(done, done + PIVOTS - 1)).select("key", *[F.col(c).alias(f"{c}_a") for c in ("node", "size", "place", "rank", "component")])
         # at the first shingle that a pair shares, what both have left from there on must suffice
         candidates = materialize(
@@ -138,29 +145,32 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             .distinct(),
             "candidates",
         )
-        found = _verified(candidates, sets)
+        edges = edges.unionByName(_verified(candidates, sets))
         discard(candidates)
-        edges = found if edges is None else edges.unionByName(found)
         groups = connected_components(edges, "a", "b")
         done += PIVOTS
-        open_ = members.where(f"n > {done + 1}").drop("component").join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
-        rest = materialize(
-            open_.withColumn("low", F.min("component").over(by_key)).withColumn("high", F.max("component").over(by_key)).where("low < high").select(*members.columns),
-            "members",
-        )
-        discard(members)
-        members = rest
-        if members.isEmpty():
-            break
-    nodes = sets.groupBy("node").agg(F.min("doc_id").alias("least_id"))
-    labelled = materialize(nodes.join(groups, "node", "left").select("node", "least_id", F.coalesce("component", "node").alias("component")), "labels")
-    least = labelled.groupBy("component").agg(F.min("least_id").alias("component_id"))
-    out = materialize(sets.select("doc_id", "node").join(labelled.join(least, "component").select("node", "component_id"), "node").select("doc_id", "component_id"), "near-copies")
+        before, members = members, _open(members.where(f"n > {done + 1}").drop("component"), groups, by_key)
+        discard(before)
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row_key"))
+    nodes = sets.groupBy("node").agg(first.alias("first"))
+    labelled = materialize(nodes.join(groups, "node", "left").select("node", "first", F.coalesce("component", "node").alias("component")), "labels")
+    least = labelled.groupBy("component").agg(F.min("first").alias("first"))
+    found = sets.select("doc_id", "row_key", "node").join(labelled.join(least.withColumnRenamed("first", "best"), "component").select("node", "best"), "node")
+    out = materialize(found.select("doc_id", F.col("best.doc_id").alias("component_id"), (F.col("row_key") == F.col("best.row_key")).alias("kept"), "row_key"), "near-copies")
     discard(sets)
     return out
 
 
+def _open(members: DataFrame, groups: DataFrame, by_key) -> DataFrame:
+    """The rows of `members` with their components, of those keys that more than one component shares; at first with n and rank in their key."""
+    now = members.join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    if "n" not in members.columns:
+        now = now.withColumn("n", F.count(F.lit(1)).over(by_key)).withColumn("rank", F.row_number().over(by_key.orderBy("node")) - 1)
+    now = now.withColumn("low", F.min("component").over(by_key)).withColumn("high", F.max("component").over(by_key))
+    return materialize(now.where("low < high").select("key", "node", "size", "place", "n", "rank", "component"), "members")
+
+
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of `docs` with one document, the least id, of each component of near copies."""
-    kept = near_components(docs, id_col, text_col).where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_keep_id")).distinct()
-    return docs.join(kept, F.col(id_col).eqNullSafe(F.col("_keep_id")), "left_semi")
+    """The rows of `docs`, one of each component of near copies: the one that near_components keeps. Repeated ids are told apart."""
+    rows, key = row_keys(docs, id_col, "rows-shingled")
+    return chosen(rows, key, near_components(rows, id_col, text_col, key).where("kept").select("row_key"), docs)

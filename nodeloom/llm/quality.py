@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import fold, materialize
+from .common import chosen, fold, materialize, row_keys
 
 FEATURES, BINS, RIDGE, WIDTH, SEED = 256, 2048, 0.1, 8.0, 20240229
 #: Documents with this calibrated score or more are accepted.
@@ -98,7 +98,8 @@ def _stack(column: pd.Series) -> np.ndarray:
     return np.vstack(column.to_numpy()).astype(float) if len(column) else np.zeros((0, STATS))
 
 
-def document_statistics(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
+def document_statistics(docs: DataFrame, id_col: str, text_col: str, key_col: str | None = None) -> DataFrame:
+    """doc_id, stats and, where a key column is named, its value as row_key."""
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -106,9 +107,10 @@ def document_statistics(docs: DataFrame, id_col: str, text_col: str) -> DataFram
             found = [statistics(x.as_py()) for x in batch.column(1)]
             flat = pa.array(np.concatenate(found) if found else np.zeros(0))
             offsets = pa.array(np.arange(len(found) + 1, dtype=np.int32) * STATS)
-            yield pa.record_batch([batch.column(0), pa.ListArray.from_arrays(offsets, flat)], names=["doc_id", "stats"])
+            yield pa.record_batch([batch.column(0), pa.ListArray.from_arrays(offsets, flat), batch.column(2)], names=["doc_id", "stats", "row_key"])
 
-    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string")).mapInArrow(run, f"doc_id {kind}, stats array<double>")
+    key = (F.col(key_col) if key_col else F.lit(None)).cast("long").alias("row_key")
+    return docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).cast("string"), key).mapInArrow(run, f"doc_id {kind}, stats array<double>, row_key long")
 
 
 def _normal_equations(rows: DataFrame, waves: Fourier) -> np.ndarray:
@@ -133,20 +135,20 @@ def _normal_equations(rows: DataFrame, waves: Fourier) -> np.ndarray:
 
     parts = rows.mapInPandas(part, "sums binary")
     lanes = max(1, min(64, int(parts.rdd.getNumPartitions() ** 0.5)))
-    # `lanes` matrices of fixed size come to the driver, whatever the number of rows
-    found = parts.coalesce(lanes).mapInPandas(add, "sums binary").collect()
+    # a row is one matrix; `lanes` of them, of fixed size, come to the driver, whatever the number of rows
+    found = parts.repartition(lanes).mapInPandas(add, "sums binary").collect()
     return sum((np.frombuffer(r["sums"]) for r in found), np.zeros(side * side)).reshape(side, side)
 
 
-def fit_and_score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", threshold: float = THRESHOLD) -> DataFrame:
-    """One row per input row: doc_id, held_out, score, predicted.
+def fit_and_score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", threshold: float = THRESHOLD, key_col: str | None = None) -> DataFrame:
+    """One row per input row: doc_id, held_out, score, predicted, and row_key where `key_col` names a column of whole numbers.
 
     Labels are learned from rows with fold(doc_id, 5) other than 0: fold 1 calibrates, the rest fit the ridge. Null and
     empty texts score like any other from zero statistics. Null labels or ids are not learned from; conflicting labels
     of an id all count. Without any label (or labels of one class only) the score is the base rate, or 0.5 without a
     base rate. An empty table gives no rows. Language, source, id and label are never inputs of a score.
     """
-    stats = materialize(document_statistics(docs, id_col, text_col).withColumn("part", fold("doc_id", 5).cast("int")), "stats")
+    stats = materialize(document_statistics(docs, id_col, text_col, key_col).withColumn("part", fold("doc_id", 5).cast("int")), "stats")
     marks = labels.select(F.col(id_col).alias("doc_id"), F.col(label_col).cast("double").alias("y")).where("y IS NOT NULL AND doc_id IS NOT NULL")
     known = materialize(stats.where("part <> 0").join(marks, "doc_id").select("stats", "y", "part"), "known")
     moments = known.where("part > 1").agg(
@@ -188,15 +190,15 @@ def fit_and_score(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", te
         # the raw score breaks ties within a step, by a share too small to leave it
         return pd.Series(np.clip(np.interp(x, knots, means) * (1 - 1e-6) + 1e-6 * np.clip((x + 0.5) / 2, 0, 1), 0, 1))
 
-    return stats.select("doc_id", (F.col("part") == 0).alias("held_out"), score("stats").alias("score")).withColumn(
-        "predicted", (F.col("score") >= threshold).cast("int")
-    )
+    scored = stats.select("doc_id", (F.col("part") == 0).alias("held_out"), score("stats").alias("score"), "row_key")
+    return scored.select("doc_id", "held_out", "score", (F.col("score") >= threshold).cast("int").alias("predicted"), *(["row_key"] if key_col else []))
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """The rows of `docs` whose score reaches `threshold`; rows that share an id stay if any of them does."""
-    good = fit_and_score(docs, labels, id_col, text_col, threshold=threshold).where("predicted = 1").select(F.col("doc_id").alias("_good")).distinct()
-    return docs.join(good, F.col(id_col).eqNullSafe(F.col("_good")), "left_semi")
+    """The rows of `docs` whose score reaches `threshold`, each by its own text: rows that share an id are told apart."""
+    rows, key = row_keys(docs, id_col, "rows-scored")
+    good = fit_and_score(rows, labels, id_col, text_col, threshold=threshold, key_col=key).where("predicted = 1").select("row_key")
+    return chosen(rows, key, good, docs)
 
 
 def accuracy(rows: list[tuple[float, int]]) -> float:

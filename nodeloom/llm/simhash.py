@@ -14,7 +14,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import materialize
@@ -24,21 +24,30 @@ from .components import connected_components
 BUCKET = 128
 
 
-def fingerprint(text: str | None, words: int = 3, seed: int = 42) -> int:
-    """SimHash of the word shingles of a text, A-Z lowered; zero for a text without words."""
+def majority(hashes: np.ndarray) -> int:
+    """The fingerprint of 64-bit hashes, repeats included: the bits set in more than half of them."""
+    counts = np.zeros(64, dtype=np.int64)
+    for start in range(0, len(hashes), 65536):
+        part = hashes[start : start + 65536].astype(">u8")
+        counts += np.unpackbits(part.view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
+    return int(np.packbits(2 * counts > len(hashes)).view(">u8")[0])
+
+
+def shingle_hashes(text: str | None, words: int, seed: int = 42) -> np.ndarray:
+    """XXH64 of each word shingle of a text in turn, A-Z lowered; a shorter text is one shingle, one without words none."""
     tokens = (text or "").encode("utf-8", "surrogatepass").lower().split()
     if not tokens:
-        return 0
+        return np.zeros(0, dtype=np.uint64)
     if len(tokens) < words:
         shingles = [b" ".join(tokens)]
     else:
         shingles = list(map(b" ".join, zip(*(tokens[i:] for i in range(words)), strict=False)))
-    counts, total = np.zeros(64, dtype=np.int64), len(shingles)
-    for start in range(0, total, 65536):
-        part = shingles[start : start + 65536]
-        hashes = np.fromiter((xxhash.xxh64_intdigest(s, seed) for s in part), dtype=">u8", count=len(part))
-        counts += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1).sum(axis=0, dtype=np.int64)
-    return int(np.packbits(2 * counts > total).view(">u8")[0])
+    return np.fromiter((xxhash.xxh64_intdigest(s, seed) for s in shingles), dtype=np.uint64, count=len(shingles))
+
+
+def fingerprint(text: str | None, words: int = 3, seed: int = 42) -> int:
+    """SimHash of the word shingles of a text, A-Z lowered; zero for a text without words."""
+    return majority(shingle_hashes(text, words, seed))
 
 
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3) -> DataFrame:
@@ -69,8 +78,6 @@ def links(distinct: DataFrame, max_bits: int = 2) -> DataFrame:
         .withColumn("hole", F.expr("shiftleft(1L, cast(slot % 32 as int))"))
         .select("fp", F.expr("shiftleft(cast(slot as long), 32) | (part & ~hole)").alias("variant"))
     )
-    from pyspark.sql import Window
-
     shared = materialize(
         variants.withColumn("n", F.count(F.lit(1)).over(Window.partitionBy("variant"))).where("n > 1"),
         "variants",
@@ -116,10 +123,3 @@ def simhash_components(docs: DataFrame, id_col: str = "doc_id", text_col: str =
     least = labelled.groupBy("component").agg(F.min("least_id").alias("component_id"))
     by_fp = labelled.join(least, "component").select("fp", "component_id")
     return docs_fp.join(by_fp, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id")
-
-
-def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, max_bits: int = 2) -> DataFrame:
-    """The rows of `docs` with one document, the least id, of each group of linked fingerprints."""
-    found = simhash_components(docs, id_col, text_col, words, max_bits)
-    kept = found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("_keep_id")).distinct()
-    return docs.join(kept, F.col(id_col).eqNullSafe(F.col("_keep_id")), "left_semi")

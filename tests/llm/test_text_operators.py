@@ -14,7 +14,7 @@ import xxhash
 from hypothesis import given, settings
 from hypothesis import strategies as st
 
-from nodeloom.llm import bpe, exact_dedup, html_extract, lm, mixing, quality, simhash, suffix_dedup, token_io
+from nodeloom.llm import bpe, common, exact_dedup, html_extract, lm, mixing, near_copies, quality, simhash, suffix_dedup, token_io
 from nodeloom.llm.common import fresh_path
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, kept boolean, size int, component string, row_no int, key string"
@@ -286,10 +286,29 @@ def test_mixing_meets_targets_and_repeats(spark):
     assert sum(target.values()) == pytest.approx(total)
 
 
-def test_targets_stop_and_share_again():
-    got = mixing.targets({"a": 100, "b": 10, None: 90})
-    assert got["b"] == 30 and got["a"] == pytest.approx(170 / 4) and got[None] == pytest.approx(170 * 3 / 4)
-    assert mixing.targets({"a": 0, "b": 0}) == {"a": 0, "b": 0}
+def plain_targets(sizes, weights=(1.0, 2.0, 3.0), limit=3.0):
+    order = sorted(s for s in sizes if s is not None) + [None] * (None in sizes)
+    weight = {s: weights[i % 3] for i, s in enumerate(order)}
+    out, rest = {}, set(order)
+    while rest:
+        left, heavy = sum(sizes.values()) - sum(out.values()), sum(weight[s] for s in rest)
+        over = {s for s in rest if left * weight[s] / heavy > limit * sizes[s]}
+        out |= {s: limit * sizes[s] for s in over} if over else {s: left * weight[s] / heavy for s in rest}
+        rest = rest - over if over else set()
+    return out
+
+
+@pytest.mark.parametrize("many", [2, 60])
+def test_targets_stop_and_share_again(spark, many):
+    rng = random.Random(many)
+    sizes = {f"s{i}": int(10 ** rng.uniform(0, 4)) for i in range(many)} | {None: 90, "a": 0, "ä": 7}
+    rows = [(i, s, n) for i, (s, n) in enumerate(sizes.items())] + [(999, "a", 0)]
+    got = mixing.plan(spark.createDataFrame(rows, "doc_id long, source string, size long"), (1.0, 2.0, 3.0), 3.0, 10).collect()
+    want = plain_targets(sizes)
+    assert [r["source"] for r in sorted(got, key=lambda r: r["source_no"])] == sorted(s for s in sizes if s is not None) + [None]
+    assert {r["source"]: r["target"] for r in got} == pytest.approx(want) and sum(want.values()) == pytest.approx(sum(sizes.values()))
+    empty = mixing.plan(spark.createDataFrame([(1, "a", 0), (2, "b", 0)], "doc_id long, source string, size long"), (1.0,), 3.0, 10)
+    assert [r["target"] for r in empty.collect()] == [0, 0]
 
 
 def test_flight_keeps_both_totals_and_probabilities():
@@ -417,3 +436,61 @@ def test_html_article_is_a_prior_only():
     assert found.split("\n") == [prose.strip(), source, prose.strip()]
     menu = "".join(f"<p><a href=x>Menu {i}</a></p>" for i in range(3))
     assert html_extract.main_text(f"<main><p>{prose}</p>{menu}<p>Menu</p>{menu}</main>") == prose.strip()
+
+
+CLASH = "doc_id long, text string, lang string, source string, n_chars long, row_key string, _keep_id int, _sha string, good int, row int, times int, chosen int, copy int"
+
+
+def clashing(spark, rows):
+    return spark.createDataFrame([(i, t, None, s, None, "r", 1, "sha", 2, 3, 4, 5, 6) for i, t, s in rows], CLASH)
+
+
+def test_row_filters_tell_repeated_ids_apart_and_keep_clashing_columns(spark):
+    rng = random.Random(9)
+    one, two, three = (words(rng, 60) for _ in range(3))
+    rows = [(0, one, "a"), (1, one, "a"), (1, two, "a"), (2, three, "b"), (None, three, "b"), (None, words(rng, 50), "b")]
+    df = clashing(spark, rows)
+    for drop in (exact_dedup.drop_exact_copies, near_copies.drop_near_copies):
+        got = drop(df)
+        assert got.columns == df.columns
+        assert collections.Counter((r["doc_id"], r["text"]) for r in got.collect()) == collections.Counter([(0, one), (1, two), (2, three), rows[5][:2]])
+        unique = drop(clashing(spark, [(k, t, s) for k, (_, t, s) in enumerate(rows)]))
+        assert unique.columns == df.columns and sorted(r["doc_id"] for r in unique.collect()) == [0, 2, 3, 5]
+    labels = spark.createDataFrame([(i, 1) for i in range(9)], "doc_id long, quality int")
+    for some in (df, clashing(spark, [(k, t, s) for k, (_, t, s) in enumerate(rows)])):
+        got = quality.keep_good(some, labels)
+        assert got.columns == df.columns and got.count() == len(rows)
+
+
+def test_mix_takes_rows_not_ids(spark):
+    rng = random.Random(3)
+    rows = [(7, words(rng, rng.randint(1, 40)), rng.choice("abc")) for _ in range(60)] + [(None, words(rng, 9), "a"), (None, "", "b")]
+    df = clashing(spark, rows)
+    got = mixing.mixed_documents(df)
+    assert got.columns == df.columns
+    size = lambda t: len((t or "").split())
+    taken = mixing.mix(df).collect()
+    assert sum(size(r["text"]) for r in got.collect()) == sum(r["taken"] for r in taken)
+    assert len({r["text"] for r in got.collect() if r["text"]}) == sum(r["taken"] > 0 for r in taken)
+
+
+@pytest.mark.parametrize("text", ["hello <|endoftext|> world", "<|endoftext|>", "a<|endoftext|>\nb  c", "plain <|endoftex|> text"])
+def test_token_files_follow_the_library_on_added_tokens(spark, text):
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    want = Tokenizer.from_file(path).encode(text, add_special_tokens=False).ids + [0]
+    row = token_io.token_files(frame(spark, [(1, text, "s"), (2, "other words here", "s")]), path).where("doc_id = 1").first()
+    assert (row["n_tokens"], row["ids_crc32"]) == (len(want), zlib.crc32(np.array(want, dtype="<u4").tobytes()))
+
+
+def test_a_cluster_without_a_shared_folder_is_refused():
+    class Cluster:
+        class conf:
+            get = staticmethod(lambda key, default=None: None)
+
+        class sparkContext:
+            master = "spark://somewhere:7077"
+
+    with pytest.raises(ValueError, match="checkpoint"):
+        common.shared_dir(Cluster())
