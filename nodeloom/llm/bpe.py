@@ -319,8 +319,9 @@ class ChunkTable:
         self.used += len(ids)
         self.known.update(zip(new, range(first, first + count), strict=True))
 
-    def batch(self, texts: list[str], cut: bool = True) -> list[np.ndarray]:
-        flats = [flat(x) if cut else None for x in texts]
+    def batch(self, texts: list[str], cut: list[bool] | None = None) -> list[np.ndarray]:
+        """The ids of each text; those not to be cut, or that cannot be, are asked for whole."""
+        flats = [flat(x) if cut is None or cut[k] else None for k, x in enumerate(texts)]
         whole = iter(self.ask_texts([x for x, c in zip(texts, flats, strict=True) if c is None]))
         if len(self.known) > self.most:
             self._thin()

@@ -137,13 +137,14 @@ class LibraryTokenizer:
         from tokenizers import Tokenizer
 
         self.library = Tokenizer.from_str(data.decode("utf-8"))
-        self.library.encode_special_tokens = True
         self.kind = np.uint16 if self.library.get_vocab_size() <= 1 << 16 else np.uint32
         # chunks stand for themselves only if the library splits at blanks by the byte-level pattern and adds nothing
         own = self.library.pre_tokenizer
         line = self.library.encode("\n", add_special_tokens=False).ids
         self.by_chunk = self.library.normalizer is None and type(own).__name__ == "ByteLevel" and not own.add_prefix_space and len(line) == 1
         self.line = line[0]
+        # the library finds its added tokens anywhere in a text, so a text that holds one is not cut
+        self.added = [t.content for t in self.library.get_added_tokens_decoder().values() if t.content]
         self.table = ChunkTable(self._chunks, self._texts, self.kind, KNOWN)
 
     def _texts(self, texts: list[str]) -> list[np.ndarray]:
@@ -161,7 +162,7 @@ class LibraryTokenizer:
         return np.delete(ids, borders), np.diff(np.concatenate([[-1], borders, [len(ids)]])) - 1
 
     def batch(self, texts: list[str]) -> list[np.ndarray]:
-        return self.table.batch(texts, self.by_chunk)
+        return self.table.batch(texts, [self.by_chunk and not any(a in x for a in self.added) for x in texts])
 
 
 _TOKENIZERS: dict[int, LibraryTokenizer] = {}
