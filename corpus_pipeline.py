@@ -10,7 +10,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from nodeloom.llm import bpe, exact_dedup, mixing, quality
 from nodeloom.llm import near_copies as near
-from nodeloom.llm.common import materialize, table
+from nodeloom.llm.common import discard, materialize, scratch, table
 
 
 def quality_filter(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -24,7 +24,7 @@ def exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the least id of each group linked by five-word shingle sets with a Jaccard index of 0.8 or more."""
+    """The document with the least id of each group of near copies: SimHash links, verified, and an exact join for the rest."""
     return near.drop_near_copies(docs)
 
 
@@ -53,5 +53,9 @@ ORACLE_SQL = None
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
-        docs = materialize(stage(spark, docs, sf_dir), name)
+        with scratch() as kept:  # a stage's own intermediates go once its result is written, as does the stage before
+            out = materialize(stage(spark, docs, sf_dir), name)
+            kept.append(out)
+        discard(docs)
+        docs = out
     return STAGES[-1][1](spark, docs, sf_dir)
