@@ -21,7 +21,7 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder of spark.checkpoint.dir. Where that is unset, a local master gets a temporary one; a cluster is refused."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
-        if not spark.sparkContext.master.startswith("local"):
+        if not (spark.sparkContext.master + "[").startswith("local["):
             raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         made = tempfile.mkdtemp(prefix="nodeloom-")
         atexit.register(shutil.rmtree, made, ignore_errors=True)
@@ -34,22 +34,28 @@ def fresh_path(spark: SparkSession, tag: str) -> str:
     return f"{shared_dir(spark)}/nodeloom/{tag}-{uuid.uuid4().hex}"
 
 
+#: Settings while a frame is written: shuffle files go as soon as the result is there (else they stay until a driver
+#: collection), and batches for Python are of a size that long texts and their shingles do not blow up.
+WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "spark.sql.execution.arrow.maxRecordsPerBatch": "1000"}
+
+
 @contextlib.contextmanager
-def tidy_shuffles(spark: SparkSession) -> Iterator[None]:
-    """Remove a query's shuffle files as soon as its result is written; without this they stay until a driver collection."""
-    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    before = spark.conf.get(key, "false")
-    spark.conf.set(key, "true")
+def tidy_writes(spark: SparkSession) -> Iterator[None]:
+    """The settings of WRITING, for what runs within."""
+    before = {key: spark.conf.get(key) for key in WRITING}
+    for key, value in WRITING.items():
+        spark.conf.set(key, value)
     try:
         yield
     finally:
-        spark.conf.set(key, before)
+        for key, value in before.items():
+            spark.conf.set(key, value)
 
 
 def materialize(df: DataFrame, tag: str, compression: str = "zstd") -> DataFrame:
     """Write `df` to the shared folder and read it back: lineage ends in files that outlive any executor."""
     path = fresh_path(df.sparkSession, tag)
-    with tidy_shuffles(df.sparkSession):
+    with tidy_writes(df.sparkSession):
         df.write.option("compression", compression).parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out.nodeloom_path = path

@@ -48,11 +48,13 @@ ENDS = {
     **dict.fromkeys(("dt", "dd"), ({"dt", "dd"}, {"dl", "table", "td", "th"})),
 }
 KEPT_TAGS = frozenset("article body html main".split())
+HEADINGS = frozenset("h1 h2 h3 h4 h5 h6".split())
 GOOD_STOP, SOME_STOP, LINKS, SHORT, LONG = 0.30, 0.10, 0.50, 70, 200
 
-_TAG = re.compile(
-    r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S
-)
+_NAME = re.compile(r"(/?)([a-zA-Z][^\s/<>\"']*)")
+#: A whole tag without angle brackets inside; it never looks further than the next one, nor back.
+_PLAIN = re.compile(r"<(/?)([a-zA-Z][^\s/<>\"']*+)((?:[^<>\"']++|\"[^\"<>]*+\"|'[^'<>]*+')*+)>")
+_MARK = re.compile(r"[>\"']")
 _ATTRIBUTE = re.compile(r"([^\s=/\"'<>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
 _WORD = re.compile(r"[^\W\d_]+")
 _SPLIT = re.compile(r"[\s_]+|-+|(?<=[a-z])(?=[A-Z])")
@@ -91,12 +93,65 @@ def _outside(tag: str, attributes: str, in_article: bool) -> bool:
     return False
 
 
+class Tags:
+    """The markup of a page in one pass over it, whatever it holds: no part is read again because a tag or quote is left open."""
+
+    def __init__(self, page: str):
+        self.page, self.quotes = page, True
+        self.last = {c: page.rfind(c) for c in ">\"'"}
+
+    def _end(self, at: int) -> int:
+        """Where the tag ends whose attributes begin at `at`: past the first > outside quotes, or -1.
+
+        A quote that nothing closes is a plain character. Once all that is left of a page would lie inside a tag, quotes
+        no longer count and tags end at the first >.
+        """
+        k = at
+        while self.quotes:
+            found = _MARK.search(self.page, k)
+            if found is None:
+                self.quotes = False
+                break
+            mark, k = found[0], found.end()
+            if mark == ">":
+                return k
+            if self.last[mark] >= k:
+                k = self.page.index(mark, k) + 1
+        return self.page.find(">", at) + 1 or -1
+
+    def next(self, at: int) -> tuple[int, int, bool, str, str] | None:
+        """Start, end, closing, name and attributes of the next markup from `at` on; the name is empty for comments and the like."""
+        page = self.page
+        while True:
+            start = page.find("<", at)
+            if start < 0 or start + 1 >= len(page):
+                return None
+            plain = _PLAIN.match(page, start)
+            if plain:
+                return start, plain.end(), plain[1] != "", plain[2].lower(), plain[3]
+            if page.startswith("<!--", start) or page.startswith("<![CDATA[", start):
+                close = "-->" if page[start + 2] == "-" else "]]>"
+                end = page.find(close, start + 4)
+                return start, end + 3 if end >= 0 else len(page), False, "", ""
+            if self.last[">"] < start:
+                return None
+            if page[start + 1] in "!?":
+                return start, page.index(">", start) + 1, False, "", ""
+            named = _NAME.match(page, start + 1)
+            end = self._end(named.end()) if named else -1
+            if end < 0:
+                at = start + 1
+                continue
+            return start, end, bool(named[1]), named[2].lower(), page[named.end() : end - 1]
+
+
 def blocks(page: str) -> list[Block]:
     """The blocks of a page that are not known to be outside the article, in page order."""
     out: list[Block] = []
-    stack: list[tuple[str, bool, bool]] = []  # tag, outside, inside an article
+    stack: list[tuple[str, bool, bool, bool]] = []  # tag, outside, inside an article, inside a heading
     places: dict[str, list[int]] = {}  # where in the stack each tag is open
     anchors, at, length, current = 0, 0, len(page), None
+    tags = Tags(page)
 
     def close(k: int) -> None:
         while len(stack) > k:
@@ -107,8 +162,8 @@ def blocks(page: str) -> list[Block]:
         if stack and stack[-1][1] or not raw:
             return
         if current is None:
-            heading = any(t in ("h1", "h2", "h3", "h4", "h5", "h6") for t, _, _ in stack[-3:])
-            current = Block(bool(stack and stack[-1][2]), heading)
+            _, _, inside, heading = stack[-1] if stack else ("", False, False, False)
+            current = Block(inside, heading)
             out.append(current)
         decoded = html.unescape(raw)
         current.parts.append(decoded)
@@ -116,19 +171,19 @@ def blocks(page: str) -> list[Block]:
             current.linked += len(decoded.strip())
 
     while at < length:
-        found = _TAG.search(page, at)
+        found = tags.next(at)
         if found is None:
             text(page[at:])
             break
-        if found.start() > at:
-            text(page[at : found.start()])
-        at = found.end()
-        if found[2] is None:
+        start, end, closing, tag, attributes = found
+        if start > at:
+            text(page[at:start])
+        at = end
+        if not tag:
             continue
-        tag, closing, attributes = found[2].lower(), bool(found[1]), found[3] or ""
         if not closing and tag in RAW_TAGS and not attributes.rstrip().endswith("/"):
-            end = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
-            at = end.end() if end else length
+            over = re.compile(rf"</{re.escape(tag)}\s*>", re.I).search(page, at)
+            at = over.end() if over else length
             if tag in BLOCK_TAGS:
                 current = None
             continue
@@ -153,10 +208,9 @@ def blocks(page: str) -> list[Block]:
                 found_at = [places[t][bisect_right(places[t], bound)] for t in ended if places.get(t) and places[t][-1] > bound]
                 if found_at:
                     close(min(found_at))
-            above = stack[-1] if stack else ("", False, False)
-            inside = above[2] or tag in ("article", "main")
+            above = stack[-1] if stack else ("", False, False, False)
             places.setdefault(tag, []).append(len(stack))
-            stack.append((tag, above[1] or _outside(tag, attributes, above[2]), inside))
+            stack.append((tag, above[1] or _outside(tag, attributes, above[2]), above[2] or tag in ("article", "main"), above[3] or tag in HEADINGS))
     kept = []
     for block in out:
         block.text = _SPACE.sub(" ", "".join(block.parts)).strip()
@@ -184,8 +238,8 @@ def _first(block: Block) -> str:
     return "bad" if links > 0.2 or size < LONG else "short"
 
 
-def main_text(page: str | None) -> str:
-    """The main text of a page, a line a block; empty if there is none."""
+def labelled(page: str | None) -> list[tuple[Block, str, str]]:
+    """The blocks of a page with the class that pass one gives (good, bad, short) and that they end with (good, bad)."""
     found = blocks(page or "")
     labels = [_first(b) for b in found]
     decided = [k for k, x in enumerate(labels) if x != "short"]
@@ -212,7 +266,12 @@ def main_text(page: str | None) -> str:
                 final[k] = labels[before]
             else:
                 final[k] = labels[before] if k - before < after - k else labels[after] if after - k < k - before else "good"
-    return "\n".join(b.text for b, x in zip(found, final, strict=True) if x == "good")
+    return list(zip(found, labels, final, strict=True))
+
+
+def main_text(page: str | None) -> str:
+    """The main text of a page, a line a block; empty if there is none."""
+    return "\n".join(b.text for b, _, x in labelled(page) if x == "good")
 
 
 def extract(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html") -> DataFrame:

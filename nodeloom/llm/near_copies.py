@@ -67,7 +67,9 @@ def _levels(sets: DataFrame) -> np.ndarray:
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         total = np.zeros(SLOTS, dtype=np.uint32)
         for batch in batches:
-            np.add.at(total, batch.column(0).flatten().to_numpy() & (SLOTS - 1), 1)
+            slots = batch.column(0).flatten().to_numpy() & (SLOTS - 1)
+            for start in range(0, len(slots), SLOTS):
+                total += np.bincount(slots[start : start + SLOTS], minlength=SLOTS).astype(np.uint32)
         for start in range(0, SLOTS, 16 * PIECE):
             pieces = total[start : start + 16 * PIECE].reshape(-1, PIECE)
             numbers = pa.array(range(start // PIECE, start // PIECE + len(pieces)), pa.int32())

@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import ChunkTable, slices
-from .common import discard, fresh_path, materialize, tidy_shuffles
+from .common import discard, fresh_path, materialize, tidy_writes
 
 SCALE, LANES, STEPS, LOW = 20, 2048, 128, 1 << 31
 #: Ids that fill a block; one document is never cut, so a longer one has a block of its own.
@@ -267,7 +267,7 @@ def write_token_files(docs: DataFrame, tokenizer_json: str, path: str, end_id: i
 
     kind = dict(plain.dtypes)["doc_ids"]
     packed = plain.where("n > 0").drop("counts").mapInArrow(pack, f"part int, block long, first long, n long, doc_ids {kind}, lengths array<long>, payload binary")
-    with tidy_shuffles(spark):
+    with tidy_writes(spark):
         packed.write.option("compression", "none").parquet(f"{path}/blocks")
     discard(plain)
     return {r["part"]: r["n"] for r in spark.read.parquet(f"{path}/blocks").groupBy("part").agg(F.sum("n").alias("n")).collect()}

@@ -4,6 +4,7 @@ import collections
 import hashlib
 import math
 import random
+import time
 import zlib
 
 import numpy as np
@@ -392,6 +393,8 @@ def test_html_query(spark):
 @pytest.mark.parametrize(
     "query",
     [
+        lambda d: html_extract.extract(d.selectExpr("doc_id AS page_id", "text AS html", "source AS url", "lang", "key AS text")),
+        lambda d: near_copies.near_components(d),
         lambda d: exact_dedup.exact_dedup(d),
         lambda d: simhash.simhash_components(d),
         lambda d: suffix_dedup.repeated_spans(d),
@@ -494,3 +497,40 @@ def test_a_cluster_without_a_shared_folder_is_refused():
 
     with pytest.raises(ValueError, match="checkpoint"):
         common.shared_dir(Cluster())
+
+
+PROSE = "It is the end of the road and there is no way to go on from it. " * 5
+
+
+@pytest.mark.parametrize("unit", ["<a b", '<a b="', "<a b='", '<b ">"', "<a 'x\">", "<!--", "<![CDATA[", "<script ", "</p ", "< ", "<a href=x>", "<td><b>", "<p class='x"])
+def test_html_reads_a_hostile_page_once(unit):
+    began = time.perf_counter()
+    page = unit * (1_000_000 // len(unit))
+    html_extract.main_text(page)
+    html_extract.main_text(page + '">')
+    assert time.perf_counter() - began < 8
+
+
+def test_html_open_quotes_and_tags_are_text_or_end_at_the_first_bracket():
+    assert html_extract.main_text("<p>one</p><p title=\"x>two</p>") == "one\ntwo"
+    assert html_extract.main_text("<p title='a > b'>in</p>") == "in"
+    assert html_extract.main_text("a <b") == "a <b"
+
+
+def test_html_second_pass_settles_short_blocks_without_an_article_element():
+    menu = "<div><a href=a>Home</a></div><div><a href=b>News</a></div>"
+    page = f"<body>{menu}<div>Menu note</div>{menu}<h2>Head</h2><div>{PROSE}</div><div>Brief.</div><div>{PROSE}</div>{menu}<div>Last</div>{menu}</body>"
+    found = [(b.text, one, end) for b, one, end in html_extract.labelled(page)]
+    assert [(t, end) for t, one, end in found if one == "short"] == [("Menu note", "bad"), ("Head", "good"), ("Brief.", "good"), ("Last", "bad")]
+    assert html_extract.main_text(page).split("\n") == ["Head", PROSE.strip(), "Brief.", PROSE.strip()]
+
+
+def test_html_second_pass_drops_short_junk_inside_an_article():
+    links = "".join(f"<p><a href=x>Another story {i}</a></p>" for i in range(3))
+    page = f"<article><h1>Head</h1><p>{PROSE}</p><p>So it is.</p><p>{PROSE}</p>{links}<p>More</p>{links}</article>"
+    assert html_extract.main_text(page).split("\n") == ["Head", PROSE.strip(), "So it is.", PROSE.strip()]
+
+
+def test_html_deep_headings_are_seen():
+    page = f"<h2><span><b><i><u>Deep head</u></i></b></span></h2><div>{PROSE}</div>"
+    assert [b.heading for b in html_extract.blocks(page)] == [True, False]
