@@ -2,26 +2,25 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import composition as C
+from . import pairs
 
 
 def analogs(vectors: DataFrame, k: int = 7, same: str | None = None, first: str | None = None) -> DataFrame:
     """src, dst, place: the k nearest others by squared distance (ties to the smaller id).
 
-    `same` restricts to others with an equal value of that column (an equi-join, which keeps the pairs to groups);
-    `first` puts others with an equal value before all the rest.
+    `same` restricts to others with an equal value of that column; `first` (a column of whole numbers) puts others with
+    an equal value before all the rest, of whom as many are looked up as the nodes of short groups may need.
     """
-    extra = [first] if first else []
-    keys = [same] if same else []
-    left = vectors.select(*keys, F.col("node").alias("src"), F.col("x").alias("a"), *[F.col(c).alias(f"_l_{c}") for c in extra])
-    right = vectors.select(*keys, F.col("node").alias("dst"), F.col("x").alias("b"), *[F.col(c).alias(f"_r_{c}") for c in extra])
-    pairs = (left.join(right, keys) if keys else left.crossJoin(right)).where("src <> dst")
-    order: list[Column] = [F.col(f"_l_{c}").eqNullSafe(F.col(f"_r_{c}")).desc() for c in extra]
-    over = Window.partitionBy("src").orderBy(*order, F.round(C.squared_distance(F.col("a"), F.col("b")), 12), "dst")
-    return pairs.withColumn("place", F.row_number().over(over)).where(F.col("place") <= k).select("src", "dst", "place")
+    if not first:
+        return pairs.nearest(vectors, k, pairs.closeness, [same] if same else None).select("src", "dst", "place")
+    own = pairs.nearest(vectors, k, pairs.closeness, [first]).drop(first).withColumn("far", F.lit(0))
+    rest = pairs.nearest(vectors, k, pairs.closeness, unlike=first).withColumn("far", F.lit(1))
+    over = Window.partitionBy("src").orderBy("far", "_place")
+    both = own.unionByName(rest).withColumnRenamed("place", "_place")
+    return both.withColumn("place", F.row_number().over(over)).where(F.col("place") <= k).select("src", "dst", "place")
 
 
 def deviation(found: DataFrame, values: DataFrame, column: str) -> DataFrame:

@@ -2,21 +2,22 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import composition as C
+from . import pairs
 
 
 def canonical_pairs(edges: DataFrame, a: str, b: str, distance: str, zero: float = 1.0) -> DataFrame:
     """a < b, the mean over both directions and repeats, its spread; distances that are not positive become `zero`."""
-    pairs = edges.where((F.col(a) != F.col(b)) & F.col(distance).isNotNull()).select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b"), F.col(distance).alias("d"))
-    means = pairs.groupBy("a", "b").agg(F.avg("d").alias("distance"), (F.max("d") - F.min("d")).alias("spread"))
+    one_way = edges.where((F.col(a) != F.col(b)) & F.col(distance).isNotNull()).select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b"), F.col(distance).alias("d"))
+    means = one_way.groupBy("a", "b").agg(F.avg("d").alias("distance"), (F.max("d") - F.min("d")).alias("spread"))
     return means.withColumn("distance", F.when(F.col("distance") <= 0, zero).otherwise(F.col("distance")))
 
 
-def symmetric(pairs: DataFrame, a: str = "a", b: str = "b", weight: str = "weight") -> DataFrame:
-    forward = pairs.select(F.col(a).alias("src"), F.col(b).alias("dst"), F.col(weight).alias("weight"))
+def symmetric(links: DataFrame, a: str = "a", b: str = "b", weight: str = "weight") -> DataFrame:
+    forward = links.select(F.col(a).alias("src"), F.col(b).alias("dst"), F.col(weight).alias("weight"))
     return forward.unionByName(forward.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight"))
 
 
@@ -26,32 +27,16 @@ def restrict(edges: DataFrame, nodes: DataFrame) -> DataFrame:
     return out.join(nodes.select(F.col("node").alias("dst")), "dst", "left_semi")
 
 
-def nearest(similarities: DataFrame, k: int, digits: int = 9) -> DataFrame:
-    """The k most similar others of each node, then those of positive weight; ties go to the smaller id."""
-    over = Window.partitionBy("src").orderBy(F.round("weight", digits).desc(), "dst")
-    return similarities.withColumn("_p", F.row_number().over(over)).where((F.col("_p") <= k) & (F.col("weight") > 0)).drop("_p")
-
-
-def knn_graph(similarities: DataFrame, k: int, mutual: bool = False) -> DataFrame:
-    """A symmetric graph of nearest others: the larger weight of either direction, or the smaller where both chose."""
-    chosen = nearest(similarities, k)
+def knn_graph(vectors: DataFrame, k: int, by: list[str] | None = None, mutual: bool = False) -> DataFrame:
+    """A symmetric graph of the k nearest others by cosine: the larger weight of either direction, or the smaller where both chose."""
+    chosen = pairs.nearest(vectors, k, pairs.cosine, by).where("weight > 0").select("src", "dst", "weight")
     both = chosen.unionByName(chosen.select(F.col("dst").alias("src"), F.col("src").alias("dst"), "weight"))
     grouped = both.groupBy("src", "dst").agg(F.max("weight").alias("weight"), F.min("weight").alias("low"), F.count(F.lit(1)).alias("n"))
     return grouped.where("n = 2").select("src", "dst", F.col("low").alias("weight")) if mutual else grouped.select("src", "dst", "weight")
 
 
-def cosine_pairs(vectors: DataFrame, by: list[str] | None = None) -> DataFrame:
-    """(1 + cosine) / 2 of all pairs of nodes, within groups if asked. Norms are taken once, before the join."""
-    unit = vectors.withColumn("_n", F.greatest(C.norm(F.col("x")), F.lit(1e-12))).withColumn("u", F.transform("x", lambda v: v / F.col("_n")))
-    keys = by or []
-    left = unit.select(*keys, F.col("node").alias("src"), F.col("u").alias("a"))
-    right = unit.select(*keys, F.col("node").alias("dst"), F.col("u").alias("b"))
-    pairs = left.join(right, keys) if keys else left.crossJoin(right)
-    return pairs.where("src <> dst").select("src", "dst", ((1 + C.dot(F.col("a"), F.col("b"))) / 2).alias("weight"))
-
-
-def kernel(pairs: DataFrame, sigma: float = 150.0) -> DataFrame:
-    return symmetric(pairs.select("a", "b", C.distance_kernel(F.col("distance"), sigma).alias("weight")))
+def kernel(links: DataFrame, sigma: float = 150.0) -> DataFrame:
+    return symmetric(links.select("a", "b", C.distance_kernel(F.col("distance"), sigma).alias("weight")))
 
 
 def multiplex(layers: list[tuple[DataFrame, float]], equal_mass: bool = False) -> DataFrame:

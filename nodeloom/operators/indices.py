@@ -1,7 +1,7 @@
 """Internal quality indices of partitions: of features (silhouette, Calinski-Harabasz, S_Dbw) and of networks.
 
 Vectors are frames of node, label, x (array of doubles). Centres and dispersions are grouped aggregates over
-positions; only the silhouette looks at all pairs, which is its definition.
+positions; only the silhouette looks at all pairs, which is its definition, in blocks.
 """
 
 from __future__ import annotations
@@ -10,6 +10,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import composition as C
+from . import pairs
 
 
 def positions(vectors: DataFrame) -> DataFrame:
@@ -24,11 +25,10 @@ def centres(vectors: DataFrame) -> DataFrame:
 
 
 def silhouette(vectors: DataFrame) -> DataFrame:
-    """node, label, sw: exact, by Euclidean distances between all pairs; alone in a cluster counts as 0."""
-    other = vectors.select(F.col("node").alias("o"), F.col("label").alias("ol"), F.col("x").alias("ox"))
-    gaps = vectors.crossJoin(other).where("node <> o").select("node", "label", "ol", F.sqrt(C.squared_distance(F.col("x"), F.col("ox"))).alias("d"))
-    means = gaps.groupBy("node", "label", "ol").agg(F.avg("d").alias("d"))
-    ab = means.groupBy("node", "label").agg(F.max(F.when(F.col("label") == F.col("ol"), F.col("d"))).alias("a"), F.min(F.when(F.col("label") != F.col("ol"), F.col("d"))).alias("b"))
+    """node, label, sw: exact, by Euclidean distances between all pairs in blocks, of which a sum for each label leaves a task; alone in a cluster counts as 0."""
+    means = pairs.distance_sums(vectors).withColumn("d", F.col("total") / F.col("n"))
+    own = F.col("label") == F.col("other")
+    ab = means.groupBy("node", "label").agg(F.max(F.when(own, F.col("d"))).alias("a"), F.min(F.when(~own, F.col("d"))).alias("b"))
     return ab.select("node", "label", F.coalesce(F.try_divide(F.col("b") - F.col("a"), F.greatest("a", "b")), F.lit(0.0)).alias("sw"))
 
 
@@ -49,8 +49,8 @@ def s_dbw(vectors: DataFrame) -> DataFrame:
     stats = c.agg(F.avg("spread").alias("sig"), (F.sqrt(F.sum("spread")) / F.count(F.lit(1))).alias("radius"), F.count(F.lit(1)).alias("k")).crossJoin(whole)
     one, two = c.select(F.col("label").alias("la"), F.col("centre").alias("ca")), c.select(F.col("label").alias("lb"), F.col("centre").alias("cb"))
     # clusters are few; pairs of centres meet the points of either cluster
-    pairs = one.crossJoin(two).where("la < lb").withColumn("cm", F.zip_with("ca", "cb", lambda x, y: (x + y) / 2)).crossJoin(stats.select("radius"))
-    points = pairs.join(vectors.select("label", "x"), (F.col("label") == F.col("la")) | (F.col("label") == F.col("lb")))
+    both = one.crossJoin(two).where("la < lb").withColumn("cm", F.zip_with("ca", "cb", lambda x, y: (x + y) / 2)).crossJoin(stats.select("radius"))
+    points = both.join(vectors.select("label", "x"), (F.col("label") == F.col("la")) | (F.col("label") == F.col("lb")))
     near = lambda u: F.count_if(F.sqrt(C.squared_distance(F.col("x"), F.col(u))) <= F.col("radius"))
     counts = points.groupBy("la", "lb").agg(near("ca").alias("na"), near("cb").alias("nb"), near("cm").alias("nm"))
     dens = counts.agg((2 * F.sum(F.coalesce(F.try_divide("nm", F.greatest("na", "nb")), F.lit(0.0)))).alias("total"))

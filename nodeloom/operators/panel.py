@@ -1,7 +1,7 @@
 """The long panel: integrity, completeness, shares, residuals and the features of its nodes.
 
-Frames have the columns node, period, category, value. Nothing is pivoted unless a result is a matrix; medians and
-means of a period are window aggregates over a partition of that period.
+Frames have the columns node, period, category, value. Nothing is pivoted unless a result is a matrix; medians of a
+period are aggregates joined back, so that no task holds the rows of a period.
 """
 
 from __future__ import annotations
@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import composition as C
+from . import pairs
 
 
 def duplicate_keys(df: DataFrame, keys: list[str]) -> DataFrame:
@@ -72,10 +73,17 @@ def share_vectors(long_shares: DataFrame, categories: list[str], by: list[str])
     return long_shares.groupBy(*by).agg(F.array(*[F.avg(F.when(F.col("category") == c, F.col("share"))) for c in categories]).alias("shares"))
 
 
+def less_median(df: DataFrame, columns: dict[str, Column], by: list[str]) -> DataFrame:
+    """`df` with new columns, each a column less its median over all rows of its group. Medians are aggregated and joined back."""
+    valued = df.withColumns({f"_v_{name}": c for name, c in columns.items()})
+    medians = valued.groupBy(*by).agg(*[F.median(f"_v_{name}").alias(f"_m_{name}") for name in columns])
+    joined = valued.join(medians, by) if by else valued.crossJoin(F.broadcast(medians))  # without groups, one row
+    return joined.withColumns({name: F.col(f"_v_{name}") - F.col(f"_m_{name}") for name in columns}).drop(*[f"_{k}_{name}" for name in columns for k in "vm"])
+
+
 def residuals(values: DataFrame, by: list[str]) -> DataFrame:
     """r = ln value less the median ln value of all nodes in the same period (and category, if `by` has it)."""
-    logs = values.withColumn("log_value", C.safe_ln(F.col("value")))
-    return logs.withColumn("r", F.col("log_value") - F.median("log_value").over(Window.partitionBy(*by)))
+    return less_median(values.withColumn("log_value", C.safe_ln(F.col("value"))), {"r": F.col("log_value")}, by)
 
 
 def level(res: DataFrame) -> DataFrame:
@@ -90,33 +98,38 @@ def detrended_sd(values: DataFrame, value: str = "r", time: str = "t") -> DataFr
     return sums.select("node", F.sqrt(F.greatest(left, F.lit(0.0))).alias("volatility"))
 
 
-def dynamics(res: DataFrame, first_period: int) -> DataFrame:
-    """Contrasts of a two-year monthly residual: growth, summer, december and the deviation from its trend."""
-    month, year = F.pmod("period", F.lit(12)) + 1, F.floor((F.col("period") - first_period) / 12)
+def _late(first: int, last: int) -> Column:
+    """Whether a period is in the later half of the panel: its second year, if it has two."""
+    return F.col("period") * 2 > first + last
+
+
+def dynamics(res: DataFrame, first: int, last: int) -> DataFrame:
+    """Contrasts of a monthly residual over the periods from first to last: growth between the halves, summer, december and the deviation from its trend."""
+    month, late = F.pmod("period", F.lit(12)) + 1, _late(first, last)
     mean = lambda cond: F.avg(F.when(cond, F.col("r")))
     contrasts = res.groupBy("node").agg(
         F.avg("r").alias("level"),
-        (mean(year == 1) - mean(year == 0)).alias("growth"),
+        (mean(late) - mean(~late)).alias("growth"),
         (mean(month.between(6, 8)) - F.avg("r")).alias("summer"),
         (mean(month == 12) - mean(month.isin(10, 11))).alias("december"),
     )
-    return contrasts.join(detrended_sd(res.withColumn("t", F.col("period") - first_period)), "node")
+    return contrasts.join(detrended_sd(res.withColumn("t", F.col("period") - first)), "node")
 
 
-def share_shift(long_shares: DataFrame, category: str, first_period: int) -> DataFrame:
-    year = F.floor((F.col("period") - first_period) / 12)
-    mean = lambda y: F.avg(F.when(year == y, F.col("share")))
-    return long_shares.where(F.col("category") == category).groupBy("node").agg((mean(1) - mean(0)).alias("share_shift"))
+def share_shift(long_shares: DataFrame, category: str, first: int, last: int) -> DataFrame:
+    late = _late(first, last)
+    mean = lambda cond: F.avg(F.when(cond, F.col("share")))
+    return long_shares.where(F.col("category") == category).groupBy("node").agg((mean(late) - mean(~late)).alias("share_shift"))
 
 
-def static_features(cells: DataFrame, named: tuple[str, ...], residual: str, shift: str, first_period: int) -> DataFrame:
+def static_features(cells: DataFrame, named: tuple[str, ...], residual: str, shift: str, first: int, last: int) -> DataFrame:
     """Twelve features of a node: log-ratios of its mean shares, level, and the dynamics of its total."""
     categories = [*named, residual]
     long = shares(cells, named, residual)
     ratios = share_vectors(long, categories, ["node"]).select("node", C.clr(F.col("shares")).alias("z"))
     total = cells.groupBy("node", "period").agg(F.sum("value").alias("value"))
-    moves = dynamics(residuals(total, ["period"]), first_period)
-    wide = ratios.join(moves, "node").join(share_shift(long, shift, first_period), "node")
+    moves = dynamics(residuals(total, ["period"]), first, last)
+    wide = ratios.join(moves, "node").join(share_shift(long, shift, first, last), "node")
     return wide.select("node", *[F.col("z")[i].alias(f"clr_{c.lower()}") for i, c in enumerate(categories)], "level", "growth", "summer", "december", "volatility", "share_shift")
 
 
@@ -143,19 +156,21 @@ def period_features(cells: DataFrame, named: tuple[str, ...], residual: str, mon
     bucket = F.expr(f"period div {months_a_period}")
     long = shares(cells, named, residual).withColumn("period", bucket)
     z = share_vectors(long, categories, ["node", "period"]).select("node", "period", C.clr(F.col("shares")).alias("z"))
-    over = Window.partitionBy("period")
-    z = z.select("node", "period", *[(F.col("z")[i] - F.median(F.col("z")[i]).over(over)).alias(f"clr_{c.lower()}") for i, c in enumerate(categories)])
+    z = less_median(z, {f"clr_{c.lower()}": F.col("z")[i] for i, c in enumerate(categories)}, ["period"]).drop("z")
     total = cells.groupBy("node", "period").agg(F.sum("value").alias("value"))
     lev = residuals(total, ["period"]).withColumn("period", bucket).groupBy("node", "period").agg(F.avg("r").alias("level"))
     return standardise_blocks(z.join(lev, ["node", "period"]), {"structure": [f"clr_{c.lower()}" for c in categories], "level": ["level"]})
 
 
+def window_ends(first_period: int, last_period: int, length: int = 12, step: int = 3) -> list[int]:
+    """The ends of all windows of `length` periods that fit, those followed by a multiple of `step`."""
+    return [e for e in range(first_period + length - 1, last_period + 1) if (e + 1) % step == 0]
+
+
 def window_table(spark, first_period: int, last_period: int, length: int = 12, step: int = 3) -> DataFrame:
     """Sliding windows by number: all of `length` periods whose end is a multiple of `step`."""
-    ends = F.sequence(F.lit(first_period + length - 1), F.lit(last_period), F.lit(1))
-    return spark.range(1).select(F.explode(ends).alias("w_end")).where(F.pmod(F.col("w_end") + 1, F.lit(step)) == 0).select(
-        F.col("w_end").cast("long"), (F.col("w_end") - length + 1).cast("long").alias("w_start")
-    )
+    ends = window_ends(first_period, last_period, length, step)
+    return spark.createDataFrame([(e, e - length + 1) for e in ends], "w_end long, w_start long")
 
 
 def window_features(cells: DataFrame, windows: DataFrame, named: tuple[str, ...], residual: str) -> DataFrame:
@@ -187,25 +202,36 @@ def standard_rows(res: DataFrame, by: str = "node") -> DataFrame:
     return centred.withColumn("u", F.try_divide(F.col("d") - F.avg("d").over(over), F.stddev_pop("d").over(over) * F.sqrt(F.count("d").over(over))))
 
 
-def comovement(rows: DataFrame) -> DataFrame:
-    """Pairs (src, dst) with the positive part of the product of their standard rows.
+def series_vectors(rows: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """node and x: the standard rows as one array a node, in the order of the (category, period) that occur; what is missing is 0.
 
-    The join is by (category, period), so its output is nodes squared for each of these: a similarity of all pairs is
-    the operation. Products are summed before they move.
+    The list of these has the length of the panel, whatever the number of nodes.
     """
-    left = rows.select(F.col("node").alias("src"), "category", "period", F.col("u").alias("a"))
-    right = rows.select(F.col("node").alias("dst"), "category", "period", F.col("u").alias("b"))
-    pairs = left.join(right, ["category", "period"]).where("src <> dst")
-    return pairs.groupBy("src", "dst").agg(F.greatest(F.sum(F.col("a") * F.col("b")), F.lit(0.0)).alias("weight"))
+    keys = by or []
+    cell = F.struct("category", "period")
+    cells = rows.groupBy(*keys).agg(F.array_sort(F.collect_set(cell)).alias("_cells"))
+    series = rows.groupBy(*keys, "node").agg(F.map_from_entries(F.collect_list(F.struct(cell.alias("k"), F.col("u").alias("v")))).alias("_u"))
+    joined = series.join(cells, keys) if keys else series.crossJoin(F.broadcast(cells))
+    return joined.select(*keys, "node", F.transform("_cells", lambda c: F.coalesce(F.col("_u")[c], F.lit(0.0))).alias("x"))
+
+
+def comovement(rows: DataFrame, by: list[str] | None = None) -> DataFrame:
+    """All pairs src < dst with the positive part of the product of their standard rows, in blocks."""
+    return pairs.every(series_vectors(rows, by), pairs.product, by)
+
+
+def comovement_nearest(rows: DataFrame, k: int) -> DataFrame:
+    """src, dst, weight, place: the k others of greatest positive similarity."""
+    return pairs.nearest(series_vectors(rows), k, pairs.product).where("weight > 0")
 
 
-def lagged_correlations(series: DataFrame, pairs: DataFrame, max_lag: int, differences: bool) -> DataFrame:
+def lagged_correlations(series: DataFrame, couples: DataFrame, max_lag: int, differences: bool) -> DataFrame:
     """x, y, lag, r for every pair and lag: correlation of x(t) with y(t + lag), so a positive lag has x leading."""
     if differences:
         over = Window.partitionBy("node").orderBy("period")
         series = series.withColumn("v", F.col("v") - F.lag("v").over(over)).where("v IS NOT NULL")
     lags = F.explode(F.sequence(F.lit(-max_lag), F.lit(max_lag))).alias("lag")
-    a = pairs.join(series.select(F.col("node").alias("x"), "period", F.col("v").alias("a")), "x").select("x", "y", "period", "a", lags)
+    a = couples.join(series.select(F.col("node").alias("x"), "period", F.col("v").alias("a")), "x").select("x", "y", "period", "a", lags)
     b = series.select(F.col("node").alias("y"), F.col("period").alias("_p"), F.col("v").alias("b"))
     joined = a.withColumn("_p", F.col("period") + F.col("lag")).join(b, ["y", "_p"])
     return joined.groupBy("x", "y", "lag").agg(F.corr("a", "b").alias("r"), F.count(F.lit(1)).alias("n"))

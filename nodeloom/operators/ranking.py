@@ -9,6 +9,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.storage import checkpointed
+
 
 def average_rank(order: Column, by: list[str] | None = None, key: Column | None = None) -> Column:
     """The rank in `order`, ties sharing their mean; pass the ordered column as `key` if `order` has a direction of nulls."""
@@ -17,6 +19,26 @@ def average_rank(order: Column, by: list[str] | None = None, key: Column | None
     return (up + down) / 2
 
 
+def running_total(df: DataFrame, order: str, amount: str, out: str) -> DataFrame:
+    """`df` with the sum of `amount` over rows up to its own in `order`, whose values are distinct; no task sorts all rows.
+
+    Ranges of the order are sorted each on their own; the sums of the ranges before, a row a range, are added.
+    """
+    # ranges come from a sample, so they are written before they are used twice
+    dealt = checkpointed(df.repartitionByRange(order).withColumn("_part", F.spark_partition_id()))
+    parts = dealt.groupBy("_part").agg(F.sum(amount).alias("_sum"))
+    before = parts.select("_part", (F.sum("_sum").over(Window.orderBy("_part")) - F.col("_sum")).alias("_before"))
+    within = F.sum(amount).over(Window.partitionBy("_part").orderBy(order).rowsBetween(Window.unboundedPreceding, 0))
+    return dealt.withColumn(out, within).join(F.broadcast(before), "_part").withColumn(out, F.col(out) + F.col("_before")).drop("_part", "_before")
+
+
+def with_average_rank(df: DataFrame, column: str, out: str) -> DataFrame:
+    """`df` with the ascending rank of a column, ties sharing their mean, from the counts of its distinct values; nulls stay null."""
+    counts = df.where(F.col(column).isNotNull()).groupBy(F.col(column).alias("_v")).agg(F.count(F.lit(1)).alias("_t"))
+    ranked = running_total(counts, "_v", "_t", "_up").select("_v", (F.col("_up") - (F.col("_t") - 1) / 2).alias(out))
+    return df.join(ranked, F.col(column) == F.col("_v"), "left").drop("_v")
+
+
 def rank_table(values: DataFrame, directions: dict[str, int]) -> DataFrame:
     """candidate, index, value, place: average ranks, the best first, nulls last."""
     sign = F.lit(None).cast("double")

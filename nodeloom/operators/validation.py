@@ -9,7 +9,19 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import tails
-from .ranking import average_rank
+from .ranking import running_total, with_average_rank
+
+
+#: Cells of a contingency table that the driver takes.
+CELLS = 1_000_000
+
+
+def local_contingency(df: DataFrame, a: str, b: str) -> list[tuple]:
+    """The cells (a, b, n) on the driver; refused where labels are so many that the table is as long as data."""
+    rows = contingency(df, a, b).limit(CELLS + 1).collect()
+    if len(rows) > CELLS:
+        raise ValueError(f"the contingency table of {a} and {b} has more than {CELLS} cells")
+    return [(r[0], r[1], r["n"]) for r in rows]
 
 
 def contingency(df: DataFrame, a: str, b: str) -> DataFrame:
@@ -32,13 +44,16 @@ def adjusted_rand(df: DataFrame, a: str, b: str) -> DataFrame:
 
 def adjusted_mutual_information(df: DataFrame, a: str, b: str) -> float:
     """AMI with the arithmetic mean of entropies. The contingency table, not the data, is on the driver."""
-    rows = [(r[0], r[1], r["n"]) for r in contingency(df, a, b).collect()]
+    rows = local_contingency(df, a, b)
     left, right = sorted({r[0] for r in rows}), sorted({r[1] for r in rows})
     if len(left) == len(right) == 1 or not rows:
         return 1.0
+    if len(left) * len(right) > 100 * CELLS:
+        raise ValueError("too many labels")
     table = np.zeros((len(left), len(right)))
+    row, column = ({v: i for i, v in enumerate(side)} for side in (left, right))
     for x, y, n in rows:
-        table[left.index(x), right.index(y)] = n
+        table[row[x], column[y]] = n
     total, ra, rb = table.sum(), table.sum(axis=1), table.sum(axis=0)
     entropy = lambda v: -sum(x / total * math.log(x / total) for x in v if x)
     mutual = sum(n / total * math.log(total * n / (ra[i] * rb[j])) for (i, j), n in np.ndenumerate(table) if n)
@@ -68,9 +83,9 @@ def eta_squared(df: DataFrame, group: str, value: str, by: list[str] | None = No
 def kruskal_h(df: DataFrame, group: str, value: str) -> DataFrame:
     """h with the correction for ties, and the degrees of freedom."""
     known = df.where(F.col(value).isNotNull() & F.col(group).isNotNull()).select(group, value)
-    # ranks come from the distinct values' counts: one short sort instead of one over all rows
+    # ranks come from the distinct values' counts, sorted in ranges
     values = known.groupBy(value).agg(F.count(F.lit(1)).alias("t"))
-    ranked = values.withColumn("up", F.sum("t").over(Window.orderBy(value).rowsBetween(Window.unboundedPreceding, 0))).withColumn("rank", F.col("up") - (F.col("t") - 1) / 2)
+    ranked = running_total(values, value, "t", "up").withColumn("rank", F.col("up") - (F.col("t") - 1) / 2)
     groups = known.join(ranked, value).groupBy(group).agg(F.sum("rank").alias("r"), F.count(F.lit(1)).alias("n"))
     sums = groups.agg(F.sum(F.col("r") * F.col("r") / F.col("n")).alias("s"), F.sum("n").alias("total"), (F.count(F.lit(1)) - 1).alias("df"))
     ties = values.agg(F.sum(F.expr("cast(t as double) * t * t - t")).alias("ties"))
@@ -173,7 +188,7 @@ def match_labels(df: DataFrame, reference: str, other: str, by_overlap: bool = F
 
     Overlaps are counted in Spark; the assignment is solved on the table of labels. Labels left over get new numbers.
     """
-    rows = [(r[0], r[1], r["n"]) for r in contingency(df, reference, other).collect()]
+    rows = local_contingency(df, reference, other)
     left, right = sorted({r[0] for r in rows}), sorted({r[1] for r in rows})
     table = np.zeros((len(right), len(left)))
     for x, y, n in rows:
@@ -221,5 +236,6 @@ def assign(cost: np.ndarray) -> list[tuple[int, int]]:
 
 
 def spearman(df: DataFrame, a: str, b: str) -> DataFrame:
-    ranked = df.where(F.col(a).isNotNull() & F.col(b).isNotNull()).withColumn("_a", average_rank(F.col(a).asc())).withColumn("_b", average_rank(F.col(b).asc()))
+    known = df.where(F.col(a).isNotNull() & F.col(b).isNotNull()).select(a, b)
+    ranked = with_average_rank(with_average_rank(known, a, "_a"), b, "_b")
     return ranked.agg(F.corr("_a", "_b").alias("spearman"))

@@ -71,11 +71,10 @@ def labour_table(spark, sf):
 def labour_features(spark, sf):
     """A relative level, log-ratios of sector shares, and a clipped share."""
     t = _labour(spark, sf).where("population > 0 AND goods IS NOT NULL AND modern_share IS NOT NULL")
-    everyone = Window.partitionBy()
     z = C.clr(F.array(*[F.greatest(F.col(c), F.lit(0.0)) + 0.005 for c in ("goods", "services", "trade", "unallocated")]))
     bounds = t.agg(F.percentile("modern_share", 0.01).alias("lo"), F.percentile("modern_share", 0.99).alias("hi"))
-    t = t.crossJoin(F.broadcast(bounds)).withColumn("z", z)
-    return t.select("node", (F.ln("population") - F.median(F.ln("population")).over(everyone)).alias("level"), *[F.col("z")[i].alias(f"clr_{c}") for i, c in enumerate(("goods", "services", "trade"))], C.clip(F.col("modern_share"), F.col("lo"), F.col("hi")).alias("modern"))
+    t = panel.less_median(t.crossJoin(F.broadcast(bounds)).withColumn("z", z), {"level": F.ln("population")}, [])
+    return t.select("node", "level", *[F.col("z")[i].alias(f"clr_{c}") for i, c in enumerate(("goods", "services", "trade"))], C.clip(F.col("modern_share"), F.col("lo"), F.col("hi")).alias("modern"))
 
 
 # -- P7: profiles of types
@@ -143,33 +142,31 @@ def cases(spark, sf):
 
 
 @query(
-    f"""SELECT t AS variant, label, avg((o0 = o2)::INT) AS stable_share, count(*) AS n FROM (SELECT t, node, max(other) FILTER (period = {pq.START + 11}) AS o0, max(other) FILTER (period = {pq.END}) AS o2, max(label) FILTER (period = {pq.END}) AS label
-    FROM (SELECT t, w.* FROM (SELECT CAST(0.02 AS DOUBLE) AS t UNION ALL SELECT CAST(0.1 AS DOUBLE)) v, LATERAL (SELECT node, period, label, CAST(r > t AS BIGINT) AS other FROM (SELECT node, w_end AS period, r, CAST(r > 0 AS BIGINT) AS label FROM (SELECT node, w_end, avg(r) AS r FROM {pq._res_sql(S.totals_sql('month', 1997, 1998))} JOIN {pq.WINDOWS} ON period BETWEEN w_start AND w_end GROUP BY ALL))) w) GROUP BY ALL)
+    f"""SELECT t AS variant, label, avg((o0 = o2)::INT) AS stable_share, count(*) AS n FROM (SELECT t, node, max(other) FILTER (period = {pq.FIRST_END}) AS o0, max(other) FILTER (period = {pq.LAST_END}) AS o2, max(label) FILTER (period = {pq.LAST_END}) AS label
+    FROM (SELECT t, w.* FROM (SELECT CAST(0.02 AS DOUBLE) AS t UNION ALL SELECT CAST(0.1 AS DOUBLE)) v, LATERAL (SELECT node, period, label, CAST(r > t AS BIGINT) AS other FROM (SELECT node, w_end AS period, r, CAST(r > 0 AS BIGINT) AS label FROM (SELECT node, w_end, avg(r) AS r FROM {pq._res_sql(S.totals_sql('month'))} JOIN {pq.WINDOWS} ON period BETWEEN w_start AND w_end GROUP BY ALL))) w) GROUP BY ALL)
     GROUP BY ALL""",
     "variant stable_share",
 )
 def window_sensitivity(spark, sf):
     """Of each type, the share that variants of the labelling leave in place between the first and last windows."""
-    windows = panel.window_table(spark, pq.START, pq.END)
-    res = panel.residuals(S.totals(spark, sf, "month", 1997, 1998), ["period"]).join(F.broadcast(windows), F.col("period").between(F.col("w_start"), F.col("w_end")))
+    res, first, last = pq.windowed_residuals(spark, sf)
     level = res.groupBy("node", F.col("w_end").alias("period")).agg(F.avg("r").alias("r"))
     variants = level.crossJoin(F.broadcast(spark.createDataFrame([(0.02,), (0.1,)], "variant double")))
     at = lambda p, c: F.max(F.when(F.col("period") == p, c))
     other = (F.col("r") > F.col("variant")).cast("long")
-    ends = variants.groupBy("variant", "node").agg(at(pq.START + 11, other).alias("o0"), at(pq.END, other).alias("o2"), at(pq.END, (F.col("r") > 0).cast("long")).alias("label"))
+    ends = variants.groupBy("variant", "node").agg(at(first, other).alias("o0"), at(last, other).alias("o2"), at(last, (F.col("r") > 0).cast("long")).alias("label"))
     return ends.groupBy("variant", "label").agg(F.avg((F.col("o0") == F.col("o2")).cast("int")).alias("stable_share"), F.count(F.lit(1)).alias("n"))
 
 
 @query(
-    f"""WITH l AS (SELECT node, w_end, CASE WHEN rank() OVER (PARTITION BY w_end ORDER BY r DESC, node) <= 20 THEN 1 END AS top FROM (SELECT node, w_end, round(avg(r), 9) AS r FROM {pq._res_sql(S.totals_sql('month', 1997, 1998))} JOIN {pq.WINDOWS} ON period BETWEEN w_start AND w_end GROUP BY ALL)),
+    f"""WITH l AS (SELECT node, w_end, CASE WHEN rank() OVER (PARTITION BY w_end ORDER BY r DESC, node) <= 20 THEN 1 END AS top FROM (SELECT node, w_end, round(avg(r), 9) AS r FROM {pq._res_sql(S.totals_sql('month'))} JOIN {pq.WINDOWS} ON period BETWEEN w_start AND w_end GROUP BY ALL)),
     s AS (SELECT w_end, node FROM l WHERE top = 1) SELECT a.w_end AS one, b.w_end AS two, count(*) FILTER (c.node IS NOT NULL) / (40 - count(*) FILTER (c.node IS NOT NULL)) AS jaccard
     FROM (SELECT DISTINCT w_end FROM s) a JOIN (SELECT DISTINCT w_end FROM s) b ON a.w_end < b.w_end JOIN s d ON d.w_end = a.w_end LEFT JOIN s c ON c.w_end = b.w_end AND c.node = d.node GROUP BY ALL""",
     "jaccard",
 )
 def window_overlap(spark, sf):
     """Overlap of the twenty leading nodes between windows (here sets of nodes instead of edges)."""
-    windows = panel.window_table(spark, pq.START, pq.END)
-    res = panel.residuals(S.totals(spark, sf, "month", 1997, 1998), ["period"]).join(F.broadcast(windows), F.col("period").between(F.col("w_start"), F.col("w_end")))
+    res, first, last = pq.windowed_residuals(spark, sf)
     level = res.groupBy("node", "w_end").agg(F.round(F.avg("r"), 9).alias("r"))
     top = level.withColumn("_p", F.row_number().over(Window.partitionBy("w_end").orderBy(F.col("r").desc(), "node"))).where("_p <= 20")
     ends = top.select("w_end").distinct()
@@ -246,17 +243,16 @@ def k_choice(spark, sf):
 
 @query(
     f"""WITH u AS (SELECT node, y, period, category, (d - avg(d) OVER w) / nullif(stddev_pop(d) OVER w * sqrt(count(d) OVER w), 0) AS u FROM (SELECT node, period // 4 AS y, period % 4 AS period, category, r - avg(r) OVER (PARTITION BY node, period // 4, category) AS d
-      FROM (SELECT *, ln(value) - median(ln(value)) OVER (PARTITION BY period, category) AS r FROM {S.cells_sql('quarter', 1997, 1998)})) WINDOW w AS (PARTITION BY node, y))
+      FROM (SELECT *, ln(value) - median(ln(value)) OVER (PARTITION BY period, category) AS r FROM {S.cells_sql('quarter')})) WINDOW w AS (PARTITION BY node, y))
     SELECT CAST(a.y AS BIGINT) AS year, a.node AS src, b.node AS dst, greatest(sum(a.u * b.u), 0) AS weight FROM u a JOIN u b ON a.y = b.y AND a.period = b.period AND a.category = b.category AND a.node < b.node GROUP BY ALL HAVING weight > 0""",
     "weight",
 )
 def yearly_comovement(spark, sf):
     """Similarity of trajectories year by year."""
-    res = panel.residuals(S.cells(spark, sf, "quarter", 1997, 1998), ["period", "category"]).withColumn("year", F.expr("period div 4"))
+    res = panel.residuals(S.cells(spark, sf, "quarter"), ["period", "category"]).withColumn("year", F.expr("period div 4"))
     keyed = res.withColumn("key", F.struct("node", "year")).drop("node").withColumnRenamed("key", "node")
-    rows = panel.standard_rows(keyed).select(F.col("node.node").alias("n"), F.col("node.year").alias("year"), "category", "period", "u")
-    left, right = rows.withColumnRenamed("n", "src"), rows.select(F.col("n").alias("dst"), "year", "category", "period", F.col("u").alias("v"))
-    return left.join(right, ["year", "category", "period"]).where("src < dst").groupBy("year", "src", "dst").agg(F.greatest(F.sum(F.col("u") * F.col("v")), F.lit(0.0)).alias("weight")).where("weight > 0")
+    rows = panel.standard_rows(keyed).select(F.col("node.node").alias("node"), F.col("node.year").alias("year"), "category", "period", "u")
+    return panel.comovement(rows, ["year"]).where("weight > 0")
 
 
 @query(

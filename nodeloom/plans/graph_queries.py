@@ -22,7 +22,7 @@ FIRST = "(SELECT vec_id AS node, CAST(embedding[1] AS DOUBLE) AS v FROM embeddin
 
 
 def knn(spark, sf, k=10, within=False):
-    return graph.knn_graph(graph.cosine_pairs(S.vectors(spark, sf), ["label"] if within else None), k)
+    return graph.knn_graph(S.vectors(spark, sf), k, ["label"] if within else None)
 
 
 def labels(spark, sf):
@@ -41,7 +41,7 @@ def cosine_knn(spark, sf):
 
 @query(f"WITH t AS {TOP.format(s=COS, k=10)} SELECT a.src, a.dst, least(a.weight, b.weight) AS weight FROM t a JOIN t b ON a.src = b.dst AND a.dst = b.src", "weight")
 def mutual_knn(spark, sf):
-    return graph.knn_graph(graph.cosine_pairs(S.vectors(spark, sf)), 10, mutual=True)
+    return graph.knn_graph(S.vectors(spark, sf), 10, mutual=True)
 
 
 FLOWS = """(SELECT CAST(c_nationkey AS BIGINT) AS a, CAST(s_nationkey AS BIGINT) AS b, abs(c_nationkey * 7 - s_nationkey * 3) % 11 * 25.0 + l_linenumber AS d

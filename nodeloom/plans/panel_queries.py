@@ -2,18 +2,26 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import composition as C
 from ..operators import panel
 from ..sources import standins as S
+from ..sources.storage import checkpointed
 from .registry import query
 
 CATS = [*S.NAMED, S.RESIDUAL]
 LOWER = [c.lower() for c in CATS]
-START, END = 1997 * 12, 1998 * 12 + 11
-YEAR, QUARTER, MONTH2 = S.cells_sql("year"), S.cells_sql("quarter"), S.cells_sql("month", 1997, 1998)
+YEAR, QUARTER, MONTH = S.cells_sql("year"), S.cells_sql("quarter"), S.cells_sql("month")
+FIRST, LAST = S.span_sql("month")
+#: Quarters of the panel, and the least that a complete node has: all of them, and six cells in each but for a few.
+QUARTERS = f"(SELECT count(DISTINCT {S.period_sql('quarter')}) FROM lineitem)"
+GAPS = 8
+
+
+def quarters(spark, sf) -> int:
+    first, last = S.span(spark, sf, "quarter")
+    return last - first + 1
 
 
 def _shares_sql(cells: str) -> str:
@@ -60,26 +68,27 @@ def keep_first_row(spark, sf):
     return panel.keep_first(items, ["l_orderkey", "l_linenumber"], [F.col(c) for c in ["l_shipdate", *ITEM[2:]]]).select(*ITEM)
 
 
-@query(f"SELECT c.* FROM {QUARTER} c WHERE node IN (SELECT node FROM {QUARTER} GROUP BY node HAVING count(DISTINCT period) >= 20 AND count(*) >= 120)", "value")
+@query(f"SELECT c.* FROM {QUARTER} c WHERE node IN (SELECT node FROM {QUARTER} GROUP BY node HAVING count(DISTINCT period) >= {QUARTERS} AND count(*) >= {QUARTERS} * 6)", "value")
 def panel_complete_series(spark, sf):
-    return panel.complete_series(S.cells(spark, sf, "quarter"), 20, 6)
+    return panel.complete_series(S.cells(spark, sf, "quarter"), quarters(spark, sf), 6)
 
 
-@query(f"SELECT node, count(DISTINCT period) AS n_periods, count(*) AS n_cells, count(DISTINCT period) >= 20 AND count(*) >= 120 AS in_sample FROM {QUARTER} GROUP BY node")
+@query(f"SELECT node, count(DISTINCT period) AS n_periods, count(*) AS n_cells, count(DISTINCT period) >= {QUARTERS} AND count(*) >= {QUARTERS} * 6 AS in_sample FROM {QUARTER} GROUP BY node")
 def panel_coverage(spark, sf):
-    return panel.coverage(S.cells(spark, sf, "quarter"), 20, 6)
+    return panel.coverage(S.cells(spark, sf, "quarter"), quarters(spark, sf), 6)
 
 
 @query(
-    f"""WITH c AS {QUARTER}, s AS (SELECT node, count(DISTINCT period) >= 20 AND count(*) >= 118 AS in_sample FROM c GROUP BY node),
+    f"""WITH c AS {QUARTER}, s AS (SELECT node, count(DISTINCT period) >= {QUARTERS} AND count(*) >= {QUARTERS} * 6 - 6 AS in_sample FROM c GROUP BY node),
     t AS (SELECT node, median(total) AS total FROM (SELECT node, period, sum(value) AS total FROM c GROUP BY ALL) GROUP BY node),
     n AS (SELECT node, category, median(value) AS value FROM c GROUP BY ALL)
     SELECT category, in_sample, median(value / total) AS share, count(*) AS n_nodes FROM n JOIN t USING (node) JOIN s USING (node) GROUP BY ALL""",
     "share",
 )
 def excluded_profile(spark, sf):
-    """Medians of nodes in and out of the sample; here a node may lack two cells."""
-    return panel.excluded_profile(S.cells(spark, sf, "quarter"), 20, 118 / 20)
+    """Medians of nodes in and out of the sample; here a node may lack six cells."""
+    n = quarters(spark, sf)
+    return panel.excluded_profile(S.cells(spark, sf, "quarter"), n, 6 - 6 / n)
 
 
 @query(f"SELECT * FROM (UNPIVOT {_shares_sql(YEAR)} ON {', '.join(LOWER)} INTO NAME category VALUE share)", "share")
@@ -121,27 +130,29 @@ def residual_level(spark, sf):
 
 def _dynamics_sql() -> str:
     month = "(period % 12 + 1)"
-    return f"""(SELECT node, avg(r) AS level, avg(r) FILTER (period >= {START + 12}) - avg(r) FILTER (period < {START + 12}) AS growth,
+    return f"""(SELECT node, avg(r) AS level, avg(r) FILTER (late) - avg(r) FILTER (NOT late) AS growth,
       avg(r) FILTER ({month} BETWEEN 6 AND 8) - avg(r) AS summer, avg(r) FILTER ({month} = 12) - avg(r) FILTER ({month} IN (10, 11)) AS december,
-      {TREND} AS volatility FROM (SELECT *, CAST(period - {START} AS DOUBLE) AS t FROM {_res_sql(S.totals_sql("month", 1997, 1998))}) GROUP BY node)"""
+      {TREND} AS volatility FROM (SELECT *, CAST(period - {FIRST} AS DOUBLE) AS t, period * 2 > {FIRST} + {LAST} AS late FROM {_res_sql(S.totals_sql("month"))}) GROUP BY node)"""
 
 
 @query(f"SELECT * FROM {_dynamics_sql()}", "level growth summer december volatility")
 def dynamics_features(spark, sf):
-    return panel.dynamics(panel.residuals(S.totals(spark, sf, "month", 1997, 1998), ["period"]), START)
+    return panel.dynamics(panel.residuals(S.totals(spark, sf, "month"), ["period"]), *S.span(spark, sf, "month"))
 
 
 @query(
-    f"SELECT node, {TREND} AS volatility FROM (SELECT node, CAST(period - {1996 * 4} AS DOUBLE) AS t, ln(value) AS r FROM {S.totals_sql('quarter')}) GROUP BY node", "volatility"
+    f"SELECT node, {TREND} AS volatility FROM (SELECT node, CAST(period - {S.span_sql('quarter')[0]} AS DOUBLE) AS t, ln(value) AS r FROM {S.totals_sql('quarter')}) GROUP BY node", "volatility"
 )
 def detrended_sd(spark, sf):
-    logs = S.totals(spark, sf, "quarter").select("node", (F.col("period") - 1996 * 4).alias("t"), F.ln("value").alias("r"))
+    first, _ = S.span(spark, sf, "quarter")
+    logs = S.totals(spark, sf, "quarter").select("node", (F.col("period") - first).alias("t"), F.ln("value").alias("r"))
     return panel.detrended_sd(logs)
 
 
 def _static_sql() -> str:
-    shift = f"(SELECT node, avg(medium) FILTER (period >= {START + 12}) - avg(medium) FILTER (period < {START + 12}) AS share_shift FROM {_shares_sql(MONTH2)} GROUP BY node)"
-    return f"(SELECT * FROM {_clr_sql(_shares_sql(MONTH2), 'node')} JOIN {_dynamics_sql()} USING (node) JOIN {shift} USING (node))"
+    halves = f"(SELECT node, medium, period * 2 > {FIRST} + {LAST} AS late FROM {_shares_sql(MONTH)})"
+    shift = f"(SELECT node, avg(medium) FILTER (late) - avg(medium) FILTER (NOT late) AS share_shift FROM {halves} GROUP BY node)"
+    return f"(SELECT * FROM {_clr_sql(_shares_sql(MONTH), 'node')} JOIN {_dynamics_sql()} USING (node) JOIN {shift} USING (node))"
 
 
 FEATURES = [*[f"clr_{c}" for c in LOWER], "level", "growth", "summer", "december", "volatility", "share_shift"]
@@ -149,7 +160,7 @@ BLOCKS = {"structure": FEATURES[:6], "level": ["level"], "dynamics": FEATURES[7:
 
 
 def features(spark, sf):
-    return panel.static_features(S.cells(spark, sf, "month", 1997, 1998), S.NAMED, S.RESIDUAL, "MEDIUM", START)
+    return panel.static_features(S.cells(spark, sf, "month"), S.NAMED, S.RESIDUAL, "MEDIUM", *S.span(spark, sf, "month"))
 
 
 @query(f"SELECT * FROM {_static_sql()}", " ".join(FEATURES))
@@ -171,9 +182,9 @@ def block_standardise(spark, sf):
 
 
 def _period_sql() -> str:
-    shares = f"(SELECT node, period // 3 AS period, {', '.join(LOWER)} FROM {_shares_sql(MONTH2)})"
+    shares = f"(SELECT node, period // 3 AS period, {', '.join(LOWER)} FROM {_shares_sql(MONTH)})"
     centred = ", ".join(f"clr_{c} - median(clr_{c}) OVER (PARTITION BY period) AS clr_{c}" for c in LOWER)
-    level = f"(SELECT node, period // 3 AS period, avg(r) AS level FROM {_res_sql(S.totals_sql('month', 1997, 1998))} GROUP BY ALL)"
+    level = f"(SELECT node, period // 3 AS period, avg(r) AS level FROM {_res_sql(S.totals_sql('month'))} GROUP BY ALL)"
     joined = f"(SELECT * FROM (SELECT node, period, {centred} FROM {_clr_sql(shares, 'node, period')}) JOIN {level} USING (node, period))"
     return _z_sql(joined, "node, period", {"structure": [f"clr_{c}" for c in LOWER], "level": ["level"]})
 
@@ -181,23 +192,33 @@ def _period_sql() -> str:
 @query(f"SELECT * FROM {_period_sql()}", CLR_COLUMNS + " level")
 def quarterly_features(spark, sf):
     """Tumbling quarters, scaled over all node-quarters."""
-    return panel.period_features(S.cells(spark, sf, "month", 1997, 1998), S.NAMED, S.RESIDUAL, 3)
+    return panel.period_features(S.cells(spark, sf, "month"), S.NAMED, S.RESIDUAL, 3)
+
 
+WINDOWS = f"(SELECT CAST(e AS BIGINT) AS w_end, CAST(e - 11 AS BIGINT) AS w_start FROM (SELECT unnest(range({FIRST} + 11, {LAST} + 1)) AS e) WHERE (e + 1) % 3 = 0)"
+FIRST_END, LAST_END = (f"(SELECT {f}(w_end) FROM {WINDOWS})" for f in ("min", "max"))
 
-WINDOWS = f"(SELECT CAST(e AS BIGINT) AS w_end, CAST(e - 11 AS BIGINT) AS w_start FROM range({START + 11}, {END + 1}) t(e) WHERE (e + 1) % 3 = 0)"
+
+def windowed_residuals(spark, sf):
+    """The residual of each node and month, once for every window that the month is in; and the first and last ends."""
+    first, last = S.span(spark, sf, "month")
+    ends = panel.window_ends(first, last)
+    windows = panel.window_table(spark, first, last)
+    res = panel.residuals(S.totals(spark, sf, "month"), ["period"]).join(F.broadcast(windows), F.col("period").between(F.col("w_start"), F.col("w_end")))
+    return res, ends[0], ends[-1]
 
 
 @query(
-    f"""WITH w AS {WINDOWS}, z AS {_clr_sql(f"(SELECT * FROM {_shares_sql(MONTH2)} JOIN {WINDOWS} ON period BETWEEN w_start AND w_end)", "node, w_end")},
-    r AS (SELECT node, w_end, r, CAST(period - w_start AS DOUBLE) AS t FROM {_res_sql(S.totals_sql("month", 1997, 1998))} JOIN w ON period BETWEEN w_start AND w_end)
+    f"""WITH w AS {WINDOWS}, z AS {_clr_sql(f"(SELECT * FROM {_shares_sql(MONTH)} JOIN {WINDOWS} ON period BETWEEN w_start AND w_end)", "node, w_end")},
+    r AS (SELECT node, w_end, r, CAST(period - w_start AS DOUBLE) AS t FROM {_res_sql(S.totals_sql("month"))} JOIN w ON period BETWEEN w_start AND w_end)
     SELECT z.*, level, growth, volatility FROM z JOIN (SELECT node, w_end, avg(r) AS level, avg(r) FILTER (t > 5) - avg(r) FILTER (t <= 5) AS growth, {TREND} AS volatility
     FROM r GROUP BY ALL) USING (node, w_end)""",
     CLR_COLUMNS + " level growth volatility",
 )
 def sliding_windows(spark, sf):
     """Features of overlapping twelve-month windows that end with a quarter."""
-    windows = panel.window_table(spark, START, END)
-    return panel.window_features(S.cells(spark, sf, "month", 1997, 1998), windows, S.NAMED, S.RESIDUAL)
+    windows = panel.window_table(spark, *S.span(spark, sf, "month"))
+    return panel.window_features(S.cells(spark, sf, "month"), windows, S.NAMED, S.RESIDUAL)
 
 
 def standard_rows(spark, sf):
@@ -214,9 +235,7 @@ COMOVE = f"(SELECT a.node AS src, b.node AS dst, greatest(sum(a.u * b.u), 0) AS
 @query(f"SELECT src, dst, weight, row_number() OVER (PARTITION BY src ORDER BY round(weight, 9) DESC, dst) AS place FROM {COMOVE} QUALIFY place <= 10 AND weight > 0", "weight")
 def comovement_topk(spark, sf):
     """The ten most similar trajectories of each node."""
-    over = Window.partitionBy("src").orderBy(F.round("weight", 9).desc(), "dst")
-    pairs = panel.comovement(standard_rows(spark, sf))
-    return pairs.withColumn("place", F.row_number().over(over)).where("place <= 10 AND weight > 0")
+    return panel.comovement_nearest(standard_rows(spark, sf), 10)
 
 
 PAIRS = "(SELECT a.s_suppkey AS x, b.s_suppkey AS y FROM supplier a JOIN supplier b ON a.s_nationkey = b.s_nationkey AND a.s_suppkey < b.s_suppkey)"
@@ -277,7 +296,7 @@ def leadlag_shares(spark, sf):
 @query(f"SELECT quantile_cont(weight, 0.5) AS median, quantile_cont(weight, 0.95) AS p95, count(*) AS n_pairs FROM {COMOVE} WHERE src < dst", "median p95")
 def comovement_summary(spark, sf):
     """The median and 95th percentile of pairwise similarity."""
-    pairs = panel.comovement(standard_rows(spark, sf)).where("src < dst")
+    pairs = panel.comovement(standard_rows(spark, sf))
     return pairs.agg(F.percentile("weight", 0.5).alias("median"), F.percentile("weight", 0.95).alias("p95"), F.count(F.lit(1)).alias("n_pairs"))
 
 
@@ -289,8 +308,7 @@ def comovement_summary(spark, sf):
 )
 def feature_correlation(spark, sf):
     """Pearson's and Spearman's coefficients; ranks of ties are their mean."""
-    from ..operators.ranking import average_rank
+    from ..operators.ranking import with_average_rank
 
-    wide = features(spark, sf)
-    wide = wide.withColumn("a", average_rank(F.col("level").asc())).withColumn("b", average_rank(F.col("clr_economy").asc()))
+    wide = with_average_rank(with_average_rank(checkpointed(features(spark, sf)), "level", "a"), "clr_economy", "b")
     return wide.agg(F.corr("level", "clr_economy").alias("pearson"), F.corr("a", "b").alias("spearman"))

@@ -285,12 +285,12 @@ def centroid_fallback(spark, sf):
     return n.select("nation", F.coalesce(F.when(F.col("nation") % 3 != 0, F.col("nation") * 2.5), F.col("nation") * 2.0).alias("lat"))
 
 
-@query("SELECT event_type, CAST(extract('day' FROM ts) AS BIGINT) AS day, count(*) AS n FROM events WHERE extract('day' FROM ts) < 4 GROUP BY ALL UNION ALL SELECT event_type, CAST(NULL AS BIGINT), count(*) FROM events WHERE extract('day' FROM ts) >= 28 GROUP BY ALL")
+@query("SELECT event_type, CAST(extract('day' FROM ts) AS BIGINT) AS day, count(*) AS n FROM events WHERE extract('day' FROM ts) < 16 GROUP BY ALL UNION ALL SELECT event_type, CAST(NULL AS BIGINT), count(*) FROM events WHERE extract('day' FROM ts) >= 16 GROUP BY ALL")
 def part_concat(spark, sf):
-    """Parts whose columns differ, concatenated."""
+    """Parts whose columns differ, concatenated; together they cover all days."""
     e = S.load(spark, sf, "events").withColumn("day", F.dayofmonth("ts").cast("long"))
-    one = e.where("day < 4").groupBy("event_type", "day").agg(F.count(F.lit(1)).alias("n"))
-    return storage.concatenated([one, e.where("day >= 28").groupBy("event_type").agg(F.count(F.lit(1)).alias("n"))])
+    one = e.where("day < 16").groupBy("event_type", "day").agg(F.count(F.lit(1)).alias("n"))
+    return storage.concatenated([one, e.where("day >= 16").groupBy("event_type").agg(F.count(F.lit(1)).alias("n"))])
 
 
 # -- dynamics
@@ -310,12 +310,12 @@ def transition_matrix(spark, sf):
 
 
 @query(
-    f"""WITH q AS (SELECT *, row_number() OVER w - 1 AS p, coalesce(label <> lag(label) OVER w, false) AS c FROM (SELECT node, period, CASE WHEN label < 'f' THEN 'a' ELSE 'b' END AS label FROM {QLABELS} WHERE period > 3) WINDOW w AS (PARTITION BY node ORDER BY period)),
+    f"""WITH q AS (SELECT *, row_number() OVER w - 1 AS p, coalesce(label <> lag(label) OVER w, false) AS c FROM (SELECT node, period, CASE WHEN label < 'f' THEN 'a' ELSE 'b' END AS label FROM {QLABELS}) WINDOW w AS (PARTITION BY node ORDER BY period)),
     f AS (SELECT node, count(*) FILTER (c) AS changes, min(p) FILTER (c) AS turn, count(*) AS n FROM q GROUP BY node)
     SELECT node, changes, CASE WHEN changes = 0 THEN 'stable' WHEN changes = 1 AND n - turn >= 2 THEN 'persistent shift' ELSE 'fluctuation' END AS trajectory FROM f"""
 )
 def trajectory_class(spark, sf):
-    coarse = qlabels(spark, sf).where("period > 3").withColumn("label", F.when(F.col("label") < "f", "a").otherwise("b"))
+    coarse = qlabels(spark, sf).withColumn("label", F.when(F.col("label") < "f", "a").otherwise("b"))
     return dynamics.trajectories(coarse)
 
 
@@ -343,7 +343,7 @@ def nearest_centroid(spark, sf):
 
 
 def _period_vectors(spark, sf):
-    cells = S.cells(spark, sf, "month", 1997, 1998)
+    cells = S.cells(spark, sf, "month")
     z = panel.period_features(cells, S.NAMED, S.RESIDUAL, 3)
     return z.select("node", "period", (F.col("node") % 4).alias("label"), F.array(*[F.col(c) for c in z.columns if c not in ("node", "period")]).alias("x"))
 
@@ -364,18 +364,17 @@ W_LABELS = "(SELECT node, w_end AS period, label FROM (SELECT node, w_end, CAST(
 
 
 @query(
-    f"""WITH r AS (SELECT node, w_end AS period, avg(r) AS level, stddev_pop(r) AS sd FROM {pq._res_sql(S.totals_sql("month", 1997, 1998))} JOIN {pq.WINDOWS} ON period BETWEEN w_start AND w_end GROUP BY ALL),
+    f"""WITH r AS (SELECT node, w_end AS period, avg(r) AS level, stddev_pop(r) AS sd FROM {pq._res_sql(S.totals_sql("month"))} JOIN {pq.WINDOWS} ON period BETWEEN w_start AND w_end GROUP BY ALL),
     a AS (SELECT node, period, CAST(level > 0 AS BIGINT) AS la, CAST(level > 0.05 AS BIGINT) AS lb FROM r),
-    p AS (SELECT node, max(la) FILTER (period = {pq.START + 11}) AS a0, max(la) FILTER (period = {pq.END - 3}) AS a1, max(la) FILTER (period = {pq.END}) AS a2, max(lb) FILTER (period = {pq.START + 11}) AS b0, max(lb) FILTER (period = {pq.END}) AS b2 FROM a GROUP BY node)
+    p AS (SELECT node, max(la) FILTER (period = {pq.FIRST_END}) AS a0, max(la) FILTER (period = {pq.LAST_END} - 3) AS a1, max(la) FILTER (period = {pq.LAST_END}) AS a2, max(lb) FILTER (period = {pq.FIRST_END}) AS b0, max(lb) FILTER (period = {pq.LAST_END}) AS b2 FROM a GROUP BY node)
     SELECT node, a0 AS origin, a2 AS target FROM p WHERE a0 <> a2 AND a1 = a2 AND b0 <> b2"""
 )
 def persistent_moves(spark, sf):
     """Nodes that moved, had settled, and moved in a second partition too."""
-    windows = panel.window_table(spark, pq.START, pq.END)
-    res = panel.residuals(S.totals(spark, sf, "month", 1997, 1998), ["period"]).join(F.broadcast(windows), F.col("period").between(F.col("w_start"), F.col("w_end")))
+    res, first, last = pq.windowed_residuals(spark, sf)
     level = res.groupBy("node", F.col("w_end").alias("period")).agg(F.avg("r").alias("level"))
     label = lambda t: level.select("node", "period", (F.col("level") > t).cast("long").alias("label"))
-    return dynamics.persistent_moves(label(0.0), label(0.05), pq.START + 11, pq.END)
+    return dynamics.persistent_moves(label(0.0), label(0.05), first, last)
 
 
 # -- pattern codes, concepts, analogs
@@ -516,7 +515,7 @@ FLAG = ["level", "growth", "summer"]
 
 
 @query(
-    f"""WITH c AS {S.cells_sql("quarter")}, ok AS (SELECT node FROM c GROUP BY node HAVING count(DISTINCT period) >= 20 AND count(*) >= 115), p AS (SELECT c.* FROM c SEMI JOIN ok USING (node)),
+    f"""WITH c AS {S.cells_sql("quarter")}, ok AS (SELECT node FROM c GROUP BY node HAVING count(DISTINCT period) >= {pq.QUARTERS} AND count(*) >= {pq.QUARTERS} * 6 - {pq.GAPS}), p AS (SELECT c.* FROM c SEMI JOIN ok USING (node)),
     z AS {pq._clr_sql(pq._shares_sql('p'), 'node')}, l AS (SELECT node, avg(r) AS level FROM (SELECT node, period, ln(v) - median(ln(v)) OVER (PARTITION BY period) AS r FROM (SELECT node, period, sum(value) AS v FROM p GROUP BY ALL)) GROUP BY node),
     s AS {pq._z_sql('(SELECT * FROM z JOIN l USING (node))', 'node', {'structure': [f'clr_{c}' for c in pq.LOWER], 'level': ['level']})}
     SELECT CAST(n_regionkey AS BIGINT) AS region, {', '.join(f'median({c}) AS {c}' for c in [*[f'clr_{c}' for c in pq.LOWER], 'level'])}, count(*) AS n_nodes, count(DISTINCT s_nationkey) AS n_nations
@@ -525,7 +524,8 @@ FLAG = ["level", "growth", "summer"]
 )
 def flagship(spark, sf):
     """P7 end to end: complete series, shares, log-ratios, level, balanced blocks, medians by region."""
-    cells = panel.complete_series(S.cells(spark, sf, "quarter"), 20, 115 / 20)
+    n = pq.quarters(spark, sf)
+    cells = panel.complete_series(S.cells(spark, sf, "quarter"), n, 6 - pq.GAPS / n)
     z = panel.share_vectors(panel.shares(cells, S.NAMED, S.RESIDUAL), pq.CATS, ["node"]).select("node", C.clr(F.col("shares")).alias("z"))
     wide = z.select("node", *[F.col("z")[i].alias(f"clr_{c}") for i, c in enumerate(pq.LOWER)])
     total = cells.groupBy("node", "period").agg(F.sum("value").alias("value"))
@@ -536,15 +536,15 @@ def flagship(spark, sf):
 
 
 @query(
-    f"""WITH f AS (SELECT s.node, s.level, s_nationkey, s_acctbal FROM {_SOURCE} s JOIN supplier ON s_suppkey = node), g AS (SELECT node, s_nationkey, ln(value / (s_acctbal + 2000)) - median(ln(value / (s_acctbal + 2000))) OVER () AS gap FROM {S.totals_sql('year', 2000, 2000)} JOIN f USING (node))
+    f"""WITH f AS (SELECT s.node, s.level, s_nationkey, s_acctbal FROM {_SOURCE} s JOIN supplier ON s_suppkey = node), g AS (SELECT node, s_nationkey, ln(value / (s_acctbal + 2000)) - median(ln(value / (s_acctbal + 2000))) OVER () AS gap FROM (SELECT node, sum(value) AS value FROM {S.totals_sql('year')} GROUP BY node) JOIN f USING (node))
     SELECT CAST(s_nationkey AS BIGINT) AS nation, median(gap) AS gap, max_by(node, (gap, -node)) AS most, min_by(node, (gap, node)) AS least FROM g GROUP BY s_nationkey""",
     "gap",
 )
 def spending_gap(spark, sf):
     """Log spending over income less its median, with the extremes of each nation."""
     nodes = S.node_region(spark, sf).join(pq.features(spark, sf).select("node"), "node", "left_semi")
-    g = S.totals(spark, sf, "year", 2000, 2000).join(nodes, "node").withColumn("g", F.ln(F.try_divide("value", F.col("s_acctbal") + 2000)))
-    g = g.withColumn("gap", F.col("g") - F.median("g").over(Window.partitionBy()))
+    spent = S.totals(spark, sf, "year").groupBy("node").agg(F.sum("value").alias("value"))
+    g = panel.less_median(spent.join(nodes, "node"), {"gap": F.ln(F.try_divide("value", F.col("s_acctbal") + 2000))}, [])
     return g.groupBy("nation").agg(F.median("gap").alias("gap_"), F.max_by("node", F.struct("gap", -F.col("node"))).alias("most"), F.min_by("node", F.struct("gap", "node")).alias("least")).withColumnRenamed("gap_", "gap")
 
 

@@ -8,7 +8,6 @@ from pyspark.sql import functions as F
 #: The panel's named categories; what a total has besides them is the residual category.
 NAMED = ("ECONOMY", "LARGE", "MEDIUM", "PROMO", "SMALL")
 RESIDUAL = "STANDARD"
-FIRST_YEAR, LAST_YEAR = 1996, 2000
 
 
 def load(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -24,9 +23,16 @@ def period_of(ts, grain: str):
     return (F.year(ts) * 12 + F.month(ts) - 1).cast("long")
 
 
-def cells(spark: SparkSession, sf_dir: str, grain: str = "year", first: int = FIRST_YEAR, last: int = LAST_YEAR) -> DataFrame:
+def span(spark: SparkSession, sf_dir: str, grain: str) -> tuple[int, int]:
+    """The first and last period of the panel, from the data."""
+    period = period_of(F.col("l_shipdate"), grain)
+    row = load(spark, sf_dir, "lineitem").agg(F.min(period).alias("first"), F.max(period).alias("last")).first()
+    return row["first"] or 0, row["last"] or 0
+
+
+def cells(spark: SparkSession, sf_dir: str, grain: str = "year") -> DataFrame:
     """The long panel: node (supplier), period, category (part type), value (revenue)."""
-    items = load(spark, sf_dir, "lineitem").where(F.year("l_shipdate").between(first, last))
+    items = load(spark, sf_dir, "lineitem")
     items = items.select("l_partkey", F.col("l_suppkey").alias("node"), period_of(F.col("l_shipdate"), grain).alias("period"), (F.col("l_extendedprice") * (1 - F.col("l_discount"))).alias("value"))
     parts = load(spark, sf_dir, "part").select(F.col("p_partkey").alias("l_partkey"), F.col("p_type").alias("category"))
     # revenue is summed by part before the join, which then sees a row for each part and cell
@@ -34,10 +40,10 @@ def cells(spark: SparkSession, sf_dir: str, grain: str = "year", first: int = FI
     return summed.join(parts, "l_partkey").groupBy("node", "period", "category").agg(F.sum("value").alias("value"))
 
 
-def totals(spark: SparkSession, sf_dir: str, grain: str = "month", first: int = FIRST_YEAR, last: int = LAST_YEAR) -> DataFrame:
+def totals(spark: SparkSession, sf_dir: str, grain: str = "month") -> DataFrame:
     """node, period, value over all categories."""
-    items = load(spark, sf_dir, "lineitem").where(F.year("l_shipdate").between(first, last))
-    return items.groupBy(F.col("l_suppkey").alias("node"), period_of(F.col("l_shipdate"), grain).alias("period")).agg(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))).alias("value"))
+    period = period_of(F.col("l_shipdate"), grain).alias("period")
+    return load(spark, sf_dir, "lineitem").groupBy(F.col("l_suppkey").alias("node"), period).agg(F.sum(F.col("l_extendedprice") * (1 - F.col("l_discount"))).alias("value"))
 
 
 def vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -55,18 +61,22 @@ def node_region(spark: SparkSession, sf_dir: str) -> DataFrame:
 _PERIOD = {"year": "year({c})", "quarter": "year({c}) * 4 + quarter({c}) - 1", "month": "year({c}) * 12 + month({c}) - 1"}
 
 
-def cells_sql(grain: str = "year", first: int = FIRST_YEAR, last: int = LAST_YEAR) -> str:
+def period_sql(grain: str) -> str:
+    return f"CAST({_PERIOD[grain].format(c='l_shipdate')} AS BIGINT)"
+
+
+def span_sql(grain: str) -> tuple[str, str]:
+    """The oracle's first and last period, as scalar subqueries."""
+    return tuple(f"(SELECT {f}({period_sql(grain)}) FROM lineitem)" for f in ("min", "max"))
+
+
+def cells_sql(grain: str = "year") -> str:
     """The oracle's version of `cells`, as a subquery."""
-    period = _PERIOD[grain].format(c="l_shipdate")
     return (
-        f"(SELECT l_suppkey AS node, CAST({period} AS BIGINT) AS period, p_type AS category, sum(l_extendedprice * (1 - l_discount)) AS value "
-        f"FROM lineitem JOIN part ON l_partkey = p_partkey WHERE year(l_shipdate) BETWEEN {first} AND {last} GROUP BY ALL)"
+        f"(SELECT l_suppkey AS node, {period_sql(grain)} AS period, p_type AS category, sum(l_extendedprice * (1 - l_discount)) AS value "
+        f"FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY ALL)"
     )
 
 
-def totals_sql(grain: str = "month", first: int = FIRST_YEAR, last: int = LAST_YEAR) -> str:
-    period = _PERIOD[grain].format(c="l_shipdate")
-    return (
-        f"(SELECT l_suppkey AS node, CAST({period} AS BIGINT) AS period, sum(l_extendedprice * (1 - l_discount)) AS value "
-        f"FROM lineitem WHERE year(l_shipdate) BETWEEN {first} AND {last} GROUP BY ALL)"
-    )
+def totals_sql(grain: str = "month") -> str:
+    return f"(SELECT l_suppkey AS node, {period_sql(grain)} AS period, sum(l_extendedprice * (1 - l_discount)) AS value FROM lineitem GROUP BY ALL)"

@@ -80,8 +80,7 @@ def test_best_lag_sign_and_ties(spark):
 def test_knn_is_symmetric_and_mutual_is_smaller(spark):
     rng = np.random.default_rng(0)
     v = spark.createDataFrame([(i, 0, x.tolist()) for i, x in enumerate(rng.standard_normal((50, 3)))], "node long, label long, x array<double>")
-    sim = graph.cosine_pairs(v)
-    one, two = graph.knn_graph(sim, 5), graph.knn_graph(sim, 5, mutual=True)
+    one, two = graph.knn_graph(v, 5), graph.knn_graph(v, 5, mutual=True)
     edges = {(r["src"], r["dst"]): r["weight"] for r in one.collect()}
     assert all(edges[(b, a)] == w for (a, b), w in edges.items()) and all(a != b for a, b in edges)
     mutual = {(r["src"], r["dst"]) for r in two.collect()}
@@ -298,8 +297,61 @@ def test_modularity_equals_its_definition():
 
 def test_warping_distance():
     a = np.array([0.0, 1.0, 2.0, 1.0, 0.0, 0.0])
-    assert stats.dtw(a, a) == 0 and stats.dtw(a, np.roll(a, 1)) < np.linalg.norm(a - np.roll(a, 1))
-    assert stats.dtw(a, a + 1, 1) == pytest.approx(math.sqrt(6))
+    far = lambda x, y, *w: float(stats.dtw(x[None], y[None], *w)[0, 0])
+    assert far(a, a) == 0 and far(a, np.roll(a, 1)) < np.linalg.norm(a - np.roll(a, 1))
+    assert far(a, a + 1, 1) == pytest.approx(math.sqrt(6))
+    both = stats.dtw(np.stack([a, np.roll(a, 1)]), np.stack([a + 1, a, a * 2]))
+    assert both.shape == (2, 3) and both[1, 1] == far(np.roll(a, 1), a) and both[0, 2] == far(a, a * 2)
+
+
+@pytest.mark.parametrize("block", [4096, 7])
+def test_blocked_pairs_equal_all_pairs(spark, monkeypatch, block):
+    from nodeloom.operators import pairs
+
+    monkeypatch.setattr(pairs, "STRIP", 40)
+    rng = np.random.default_rng(5)
+    x = rng.standard_normal((40, 3))
+    x[5] = x[6] = x[30]  # ties
+    x[9] = 0
+    group = rng.integers(0, 3, 40)
+    v = spark.createDataFrame([(i, int(g), r.tolist()) for i, (g, r) in enumerate(zip(group, x, strict=True))] + [(99, 0, None)], "node long, label long, x array<double>")
+    every = {(r["src"], r["dst"]): r["weight"] for r in pairs.every(v, pairs.squared_distance, block=block).collect()}
+    assert len(every) == 40 * 39 // 2
+    assert all(d == pytest.approx(((x[a] - x[b]) ** 2).sum(), abs=1e-9) for (a, b), d in every.items())
+    norm = np.maximum(np.linalg.norm(x, axis=1), 1e-12)
+    w = np.round((1 + (x / norm[:, None]) @ (x / norm[:, None]).T) / 2, 9)
+    for by, unlike in ((None, None), (["label"], None), (None, "label")):
+        got = {(r["src"], r["place"]): r["dst"] for r in pairs.nearest(v, 4, by=by, unlike=unlike, block=block).collect()}
+        for i in range(40):
+            others = [j for j in range(40) if j != i and (not by or group[i] == group[j]) and (not unlike or group[i] != group[j])]
+            assert [got[i, p + 1] for p in range(min(4, len(others)))] == sorted(others, key=lambda j: (-w[i, j], j))[:4]
+    sums = {(r["node"], r["other"]): (r["total"], r["n"]) for r in pairs.distance_sums(v, block=block).collect()}
+    for i in range(40):
+        for g in range(3):
+            mine = [j for j in range(40) if group[j] == g and j != i]
+            assert sums[i, g] == (pytest.approx(sum(np.linalg.norm(x[i] - x[j]) for j in mine)), len(mine))
+
+
+def test_mixture_uses_every_component_and_finds_planted_groups(spark):
+    rng = np.random.default_rng(1)
+    truth = np.arange(300) % 3
+    x = rng.standard_normal((300, 12)) * 0.5
+    x[:, 11] += 4.0 * truth  # only the last component tells the groups apart
+    x[:, 3] = 1.0  # a constant component needs the floor
+    v = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "node long, x array<double>").repartition(3)
+    got = {r["node"]: r["label"] for r in clustering.gaussian_mixture(v, 3, runs=2).collect()}
+    assert stats.plain_ari(truth, np.array([got[i] for i in range(300)])) > 0.95
+
+
+def test_leading_vectors_are_those_of_the_dense_matrix():
+    rng = np.random.default_rng(2)
+    a = np.triu((rng.random((90, 90)) < 0.2) * rng.random((90, 90)), 1)
+    a += a.T
+    src, dst = np.nonzero(a)
+    scale = 1 / np.sqrt(a.sum(axis=1))
+    _, want = np.linalg.eigh(a * scale[:, None] * scale)
+    got = clustering.leading_vectors(90, src, dst, a[src, dst], 4)
+    assert np.abs(got.T @ want[:, -4:]) == pytest.approx(np.eye(4), abs=1e-6)
 
 
 def test_components_and_types(spark):

@@ -127,7 +127,11 @@ def test_swapped_rows_differ_and_noise_does_not(spark):
     assert rows(storage.table_diff(a, swapped, ["id"], ["v"]), "id", "state") == [(1, "differs"), (2, "differs")]
     assert storage.table_diff(a, noisy, ["id"], ["v"]).count() == 0
     assert rows(storage.table_diff(a, a.where("id > 1"), ["id"], ["v"]), "id", "state") == [(1, "only in a")]
-    assert storage.json_equal({"a": [1, 2.0 + 1e-12]}, {"a": [1, 2.0]}) and not storage.json_equal({"a": True}, {"a": 1})
+    one, two = ('{"a": [1, 2.000000000001], "b": {}, "c": null}', '{"c": null, "b": {}, "a": [1, 2.0]}')
+    table = lambda *texts: spark.createDataFrame(list(enumerate(texts)), "k int, j string")
+    assert storage.json_diff(table(one, None, "not json"), table(two, None, "not json"), ["k"], "j").count() == 0
+    found = storage.json_diff(table('{"a": true, "b": [1]}', "[]", "1"), table('{"a": 1, "b": [1, 2]}', "{}", None), ["k"], "j")
+    assert sorted(map(tuple, found.collect())) == [(0, '$["a"]', "differs"), (0, '$["b"][1]', "only in b"), (1, "$", "differs"), (2, "$", "only in a")]
 
 
 def test_archives_are_filtered_while_they_are_read(spark, tmp_path):
