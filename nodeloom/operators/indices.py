@@ -26,7 +26,7 @@ def centres(vectors: DataFrame) -> DataFrame:
 
 def silhouette(vectors: DataFrame) -> DataFrame:
     """node, label, sw: exact, by Euclidean distances between all pairs in blocks, of which a sum for each label leaves a task; alone in a cluster counts as 0."""
-    means = pairs.distance_sums(vectors).withColumn("d", F.col("total") / F.col("n"))
+    means = pairs.distance_sums(vectors.withColumn("labels", F.array("label"))).withColumn("d", F.col("total") / F.col("n"))
     own = F.col("label") == F.col("other")
     ab = means.groupBy("node", "label").agg(F.max(F.when(own, F.col("d"))).alias("a"), F.min(F.when(~own, F.col("d"))).alias("b"))
     return ab.select("node", "label", F.coalesce(F.try_divide(F.col("b") - F.col("a"), F.greatest("a", "b")), F.lit(0.0)).alias("sw"))

@@ -137,24 +137,31 @@ def every(vectors: DataFrame, measure=product, by: list[str] | None = None, bloc
 
 
 def distance_sums(vectors: DataFrame, block: int = BLOCK) -> DataFrame:
-    """node, label, other, total, n: the sum of Euclidean distances of each node to the other nodes of each label."""
+    """node, place, label, other, total, n: the sum of Euclidean distances of each node to the other nodes of each label.
+
+    `labels` is an array, one label for each of several partitions (place 0 and on), for which distances are taken once.
+    """
 
     def task(one: pa.Table, two: pa.Table | None) -> Iterator[dict]:
         blocks = (one, one if two is None else two)
-        ids, labels = ([t.column(c).to_numpy() for t in blocks] for c in ("node", "label"))
+        ids = [t.column("node").to_numpy() for t in blocks]
+        labels = [_matrix(t.column("labels")).astype(np.int64) for t in blocks]
         for first, rows, d2 in _strips(one, two, squared_distance):
             i, j = (0, 1) if first else (1, 0)
             d = np.sqrt(d2)
             own = ids[i][rows][:, None] == ids[j]
             d[own] = 0.0
-            names, place = np.unique(labels[j], return_inverse=True)
-            member = np.eye(len(names))[place]
-            total, n = d @ member, (~own).astype(float) @ member
-            shape = total.shape
-            yield {
-                "node": np.repeat(ids[i][rows], shape[1]), "label": np.repeat(labels[i][rows], shape[1]), "other": np.tile(names, shape[0]),
-                "total": total.reshape(-1), "n": n.reshape(-1).astype(np.int64),
-            }
-
-    found = _run(vectors, [], ["label"], block, task, "node long, label long, other long, total double, n long", ["node", "label", "other", "total", "n"])
-    return found.where("n > 0").groupBy("node", "label", "other").agg(F.sum("total").alias("total"), F.sum("n").alias("n"))
+            itself = own.any(axis=1)
+            for place in range(labels[j].shape[1]):
+                names, at = np.unique(labels[j][:, place], return_inverse=True)
+                member = np.eye(len(names))[at]
+                mine = labels[i][rows, place]
+                n = np.bincount(at, minlength=len(names)) - (itself[:, None] & (mine[:, None] == names))
+                yield {
+                    "node": np.repeat(ids[i][rows], len(names)), "place": np.full(n.size, place), "label": np.repeat(mine, len(names)), "other": np.tile(names, len(mine)),
+                    "total": (d @ member).reshape(-1), "n": n.reshape(-1).astype(np.int64),
+                }
+
+    schema = "node long, place long, label long, other long, total double, n long"
+    found = _run(vectors, [], ["labels"], block, task, schema, ["node", "place", "label", "other", "total", "n"])
+    return found.where("n > 0").groupBy("node", "place", "label", "other").agg(F.sum("total").alias("total"), F.sum("n").alias("n"))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..operators import graph, indices, ranking, validation
+from ..operators import graph, indices, ranking, selection, validation
 from ..sources import standins as S
 from ..sources import storage
 from .registry import query
@@ -168,12 +168,12 @@ def cluster_edge_weights(spark, sf):
     return indices.between_weights(knn(spark, sf), labels(spark, sf))
 
 
-@query(
-    f"""WITH s AS {BETWEEN}, r AS (SELECT la, sum(weight) AS row, sum(weight) FILTER (la = lb) AS inn FROM s GROUP BY la), c AS (SELECT lb, sum(weight) AS col, sum(weight) FILTER (la = lb) AS inb FROM s GROUP BY lb)
+NETWORK = f"""WITH s AS {BETWEEN}, r AS (SELECT la, sum(weight) AS row, sum(weight) FILTER (la = lb) AS inn FROM s GROUP BY la), c AS (SELECT lb, sum(weight) AS col, sum(weight) FILTER (la = lb) AS inb FROM s GROUP BY lb)
     SELECT (SELECT avg(coalesce(inn, 0) / row) FROM r) AS avi, (SELECT sum(weight / (row - coalesce(inn, 0) + col - coalesce(inb, 0) - weight)) FROM s JOIN r USING (la) JOIN c USING (lb) WHERE la <> lb) / (SELECT count(DISTINCT label) FROM {LABELS}) AS avu,
-    (SELECT sum(coalesce(inn, 0) / m - (row / m) * (row / m)) FROM r, (SELECT sum(weight) AS m FROM s)) AS mq""",
-    "avi avu mq",
-)
+    (SELECT sum(coalesce(inn, 0) / m - (row / m) * (row / m)) FROM r, (SELECT sum(weight) AS m FROM s)) AS mq"""
+
+
+@query(NETWORK, "avi avu mq")
 def avi_avu_mq(spark, sf):
     return indices.network_indices(knn(spark, sf), labels(spark, sf))
 
@@ -188,12 +188,12 @@ def relabel_by_size(spark, sf):
     return indices.renumbered(labels(spark, sf))
 
 
-@query(
-    f"""WITH d AS (SELECT a.node, a.label, b.label AS ol, avg(list_distance(a.x, b.x)) AS d FROM {V} a JOIN {V} b ON a.node <> b.node GROUP BY ALL),
+SILHOUETTE = f"""WITH d AS (SELECT a.node, a.label, b.label AS ol, avg(list_distance(a.x, b.x)) AS d FROM {V} a JOIN {V} b ON a.node <> b.node GROUP BY ALL),
     ab AS (SELECT node, label, max(d) FILTER (label = ol) AS a, min(d) FILTER (label <> ol) AS b FROM d GROUP BY ALL)
-    SELECT label, avg(coalesce((b - a) / nullif(greatest(a, b), 0), 0)) AS sw, count(*) AS n FROM ab GROUP BY label""",
-    "sw",
-)
+    SELECT label, avg(coalesce((b - a) / nullif(greatest(a, b), 0), 0)) AS sw, count(*) AS n FROM ab GROUP BY label"""
+
+
+@query(SILHOUETTE, "sw")
 def silhouette_by_label(spark, sf):
     return indices.silhouette(S.vectors(spark, sf)).groupBy("label").agg(F.avg("sw").alias("sw"), F.count(F.lit(1)).alias("n"))
 
@@ -201,24 +201,24 @@ def silhouette_by_label(spark, sf):
 CELLS = f"(SELECT node, label, unnest(range(1, 65)) AS pos, unnest(x) AS v FROM {V})"
 
 
-@query(
-    f"""WITH c AS {CELLS}, g AS (SELECT pos, avg(v) AS g FROM c GROUP BY pos), m AS (SELECT label, pos, avg(v) AS m, count(*) AS n, var_pop(v) AS s FROM c GROUP BY ALL)
-    SELECT (sum(n * (m - g) * (m - g)) / (count(DISTINCT label) - 1)) / (sum(n * s) / (sum(n) / 64 - count(DISTINCT label))) AS ch FROM m JOIN g USING (pos)""",
-    "ch",
-)
+CH = f"""WITH c AS {CELLS}, g AS (SELECT pos, avg(v) AS g FROM c GROUP BY pos), m AS (SELECT label, pos, avg(v) AS m, count(*) AS n, var_pop(v) AS s FROM c GROUP BY ALL)
+    SELECT (sum(n * (m - g) * (m - g)) / (count(DISTINCT label) - 1)) / (sum(n * s) / (sum(n) / 64 - count(DISTINCT label))) AS ch FROM m JOIN g USING (pos)"""
+
+
+@query(CH, "ch")
 def calinski_harabasz(spark, sf):
     return indices.calinski_harabasz(S.vectors(spark, sf))
 
 
-@query(
-    f"""WITH c AS {CELLS}, p AS (SELECT label, pos, avg(v) AS m, var_pop(v) AS s FROM c GROUP BY ALL), k AS (SELECT label, list(m ORDER BY pos) AS c, sqrt(sum(s * s)) AS sp FROM p GROUP BY label),
+SDBW = f"""WITH c AS {CELLS}, p AS (SELECT label, pos, avg(v) AS m, var_pop(v) AS s FROM c GROUP BY ALL), k AS (SELECT label, list(m ORDER BY pos) AS c, sqrt(sum(s * s)) AS sp FROM p GROUP BY label),
     st AS (SELECT avg(sp) AS sig, sqrt(sum(sp)) / count(*) AS rad, count(*) AS k FROM k), al AS (SELECT sqrt(sum(s * s)) AS a FROM (SELECT var_pop(v) AS s FROM c GROUP BY pos)),
     pr AS (SELECT a.label AS la, b.label AS lb, a.c AS ca, b.c AS cb, list_transform(list_zip(a.c, b.c), lambda z: (z[1] + z[2]) / 2) AS cm FROM k a JOIN k b ON a.label < b.label),
     d AS (SELECT la, lb, count(*) FILTER (list_distance(x, ca) <= rad) AS na, count(*) FILTER (list_distance(x, cb) <= rad) AS nb, count(*) FILTER (list_distance(x, cm) <= rad) AS nm
       FROM pr JOIN {V} v ON v.label IN (la, lb), st GROUP BY ALL)
-    SELECT (SELECT sig FROM st) / (SELECT a FROM al) + (SELECT 2 * sum(coalesce(nm / nullif(greatest(na, nb), 0), 0)) FROM d) / (SELECT k * (k - 1) FROM st) AS s_dbw""",
-    "s_dbw",
-)
+    SELECT (SELECT sig FROM st) / (SELECT a FROM al) + (SELECT 2 * sum(coalesce(nm / nullif(greatest(na, nb), 0), 0)) FROM d) / (SELECT k * (k - 1) FROM st) AS s_dbw"""
+
+
+@query(SDBW, "s_dbw")
 def s_dbw(spark, sf):
     return indices.s_dbw(S.vectors(spark, sf))
 
@@ -310,13 +310,48 @@ def choose_stable(spark, sf):
     return ranking.choose(ranking.aggregate(ranks(spark, sf)), stability, 0.6).select("candidate", "borda", "stability")
 
 
-@query("SELECT l.a || '|' || l.b AS candidate FROM (SELECT unnest(['kmeans', 'gmm', 'ward']) AS a, unnest([1]) AS z) x(a, z), range(4, 13) y(k), (SELECT x.a, 'k' || y.k AS b) l")
+@query(
+    """WITH k AS (SELECT unnest(range(4, 13)) AS k), net AS (SELECT unnest(['geography', 'comovement', 'leadlag', 'multiplex']) AS n) SELECT m || '|k' || k AS candidate FROM (SELECT unnest(['kmeans', 'gmm', 'ward', 'pattern']) AS m), k
+    UNION ALL SELECT 'leiden|' || n || '|r' || r FROM net, (SELECT unnest(['0.02', '0.05', '0.1', '0.2', '0.3', '0.5', '1.0']) AS r) UNION ALL SELECT m || '|' || n || '|k' || k FROM (SELECT unnest(['spectral', 'spectral_joint']) AS m), net, k
+    UNION ALL SELECT 'kefrin|' || n || '|k' || k || '|' || d FROM net, k, (SELECT unnest(['cosine|x1.0', 'cosine|x4.0', 'cosine|x16.0', 'euclidean|x1.0']) AS d)"""
+)
 def candidate_grid(spark, sf):
-    """Methods crossed with numbers of clusters, as identifiers."""
-    from ..functions import composition as C
+    """The whole grid of 280 candidates, from its parameter tables."""
+    found = selection.grid(spark, list(range(4, 13)), ["geography", "comovement", "leadlag", "multiplex"], [0.02, 0.05, 0.1, 0.2, 0.3, 0.5, 1.0], ["cosine", "euclidean"], [1.0, 4.0, 16.0])
+    return found.select("candidate")
+
+
+def _indices_sql(k: int) -> str:
+    """All indices of the partition by label modulo k."""
+    one = lambda sql: sql.replace("CAST(label AS BIGINT) AS label", f"CAST(label % {k} AS BIGINT) AS label")
+    sw = f"SELECT sum(sw * n) / sum(n) AS sw FROM ({one(SILHOUETTE)})"
+    sizes = f"SELECT count(*) AS k, min(n) AS min_size, max(n) / sum(n) AS max_share FROM (SELECT label % {k} AS l, count(*) AS n FROM embeddings GROUP BY 1)"
+    return f"SELECT 'mod{k}' AS candidate, * FROM ({sw}), ({one(CH)}), ({one(SDBW)}), ({one(NETWORK)}), ({sizes})"
+
 
-    methods = spark.createDataFrame([(m,) for m in ("kmeans", "gmm", "ward")], "method string")
-    return methods.crossJoin(spark.range(4, 13)).select(C.candidate_id(F.col("method"), F.concat(F.lit("k"), "id")).alias("candidate"))
+def _given(spark, sf):
+    base = labels(spark, sf)
+    parts = [base.select(F.lit(f"mod{k}").alias("candidate"), "node", (F.col("label") % k).alias("label")) for k in (2, 3, 5)]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+@query(" UNION ALL ".join(_indices_sql(k) for k in (2, 3, 5)), "sw ch s_dbw avi avu mq max_share")
+def candidate_indices(spark, sf):
+    """Six indices and sizes of several given partitions at once."""
+    return selection.evaluate(_given(spark, sf), S.vectors(spark, sf), knn(spark, sf))
+
+
+@query(
+    f"""WITH i AS ({" UNION ALL ".join(_indices_sql(k) for k in (2, 3, 5))}), l AS (UNPIVOT (SELECT candidate, sw, ch, s_dbw, avi, avu, mq FROM i WHERE min_size >= 0.01 * (SELECT count(*) FROM embeddings) AND max_share <= 0.6) ON sw, ch, s_dbw, avi, avu, mq INTO NAME index VALUE v),
+    r AS (SELECT candidate, index, rank() OVER w + (count(*) OVER (PARTITION BY index, round(v, 9)) - 1) / 2.0 AS place, count(*) OVER (PARTITION BY index) AS n FROM l WINDOW w AS (PARTITION BY index ORDER BY CASE WHEN index IN ('s_dbw', 'avu') THEN -round(v, 9) ELSE round(v, 9) END DESC))
+    SELECT candidate, sum(n - place) AS borda, rank() OVER (ORDER BY sum(n - place) DESC) AS borda_place FROM r GROUP BY candidate""",
+    "borda",
+)
+def rank_partitions(spark, sf):
+    """Admissible partitions by Borda over the six indices."""
+    vectors = S.vectors(spark, sf)
+    table = storage.checkpointed(selection.evaluate(_given(spark, sf), vectors, knn(spark, sf)))
+    return selection.ranked(table, vectors.count(), 24).select("candidate", "borda", "borda_place")
 
 
 OUTCOME = "(SELECT l.doc_id, quality, toxic, source, lang, CAST(n_chars AS DOUBLE) AS n_chars FROM labels l JOIN documents USING (doc_id))"

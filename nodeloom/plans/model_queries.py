@@ -5,8 +5,10 @@ from __future__ import annotations
 import pandas as pd
 from pyspark.sql import functions as F
 
-from ..operators import clustering, graph, indices, stats, validation
+from ..functions import composition as C
+from ..operators import clustering, selection, stats, validation
 from ..sources import standins as S
+from ..sources.storage import checkpointed
 from . import graph_queries as gq
 from .registry import query
 
@@ -147,20 +149,16 @@ def match_partitions(spark, sf):
 
 @query()
 def select_partition(spark, sf):
-    """Candidates by k-means and Ward, their indices, admissibility, ranks."""
-    from ..operators import ranking
-
-    vectors, edges = S.vectors(spark, sf), gq.knn(spark, sf, 5, True)
-    rows = None
-    for method in ("kmeans", "ward"):
-        for k in (3, 4, 5):
-            labels = clustering.run(method, vectors, k, **({"runs": 2} if method == "kmeans" else {}))
-            v = vectors.drop("label").join(labels, "node")
-            found = indices.calinski_harabasz(v).crossJoin(indices.network_indices(graph.restrict(edges, labels), labels)).crossJoin(indices.sizes(labels))
-            found = found.withColumn("candidate", F.lit(f"{method}|k{k}"))
-            rows = found if rows is None else rows.unionByName(found)
-    from ..sources.storage import checkpointed
-
-    table = checkpointed(rows).where("max_share <= 0.6")
-    values = table.unpivot(["candidate"], ["ch", "avi", "avu", "mq"], "index", "value")
-    return ranking.aggregate(ranking.rank_table(values, {"ch": 1, "avi": 1, "avu": -1, "mq": 1}))
+    """A grid of all families over two networks, six indices, ranks, the stability of the leading
+    two by five subsamples each, and which of them is chosen. Grid and counts are smaller than a full study's."""
+    vectors = S.vectors(spark, sf)
+    networks = {"all": checkpointed(gq.knn(spark, sf)), "label": checkpointed(gq.knn(spark, sf, 5, True))}
+    codes = vectors.select("node", C.pair_codes(F.col("x"), 4).alias("codes"))
+    candidates = selection.grid(spark, [4, 6], ["all"], [1.0], ["cosine"], [1.0, 4.0], ("kmeans", "ward", "pattern"))
+
+    def cluster(row, some, seed):
+        known = selection.restricted(networks, some)
+        return selection.labels_of(row, some, known, codes.join(some.select("node"), "node", "left_semi"), known["label"], runs=2)
+
+    table, best = selection.select(candidates, cluster, vectors, networks, "all", top=2, runs=5, least=-1.0)
+    return table.join(best.select("candidate", F.lit(True).alias("chosen")), "candidate", "left").withColumn("chosen", F.coalesce("chosen", F.lit(False)))

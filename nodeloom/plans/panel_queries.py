@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import composition as C
-from ..operators import panel
+from ..operators import panel, selection
 from ..sources import standins as S
 from ..sources.storage import checkpointed
 from .registry import query
@@ -103,6 +103,16 @@ def clr_shares(spark, sf):
     return z.select("node", *[F.col("z")[i].alias(f"clr_{c}") for i, c in enumerate(LOWER)])
 
 
+_MEAN_SHARES = f"(SELECT node, {', '.join(f'avg({c}) AS {c}' for c in LOWER[:-1])} FROM {_shares_sql(YEAR)} GROUP BY node)"
+
+
+@query(f"SELECT node, {', '.join(f'({c} - avg({c}) OVER ()) / coalesce(nullif(stddev_pop({c}) OVER (), 0), 1) AS z_{c}' for c in LOWER[:-1])} FROM {_MEAN_SHARES}", " ".join(f"z_{c}" for c in LOWER[:-1]))
+def pattern_indicators(spark, sf):
+    """Z scores of the named shares, the input of the pattern clusterings."""
+    shares = panel.share_vectors(panel.shares(S.cells(spark, sf), S.NAMED, S.RESIDUAL), CATS, ["node"])
+    return selection.pattern_indicators(shares).select("node", *[F.col("x")[i].alias(f"z_{c}") for i, c in enumerate(LOWER[:-1])])
+
+
 def _ilr_sql() -> str:
     logs = ", ".join(f"ln(greatest(avg({c}), 1e-6)) AS {c}" for c in LOWER)
     out = []

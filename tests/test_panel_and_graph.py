@@ -325,7 +325,7 @@ def test_blocked_pairs_equal_all_pairs(spark, monkeypatch, block):
         for i in range(40):
             others = [j for j in range(40) if j != i and (not by or group[i] == group[j]) and (not unlike or group[i] != group[j])]
             assert [got[i, p + 1] for p in range(min(4, len(others)))] == sorted(others, key=lambda j: (-w[i, j], j))[:4]
-    sums = {(r["node"], r["other"]): (r["total"], r["n"]) for r in pairs.distance_sums(v, block=block).collect()}
+    sums = {(r["node"], r["other"]): (r["total"], r["n"]) for r in pairs.distance_sums(v.withColumn("labels", F.array("label")), block=block).collect()}
     for i in range(40):
         for g in range(3):
             mine = [j for j in range(40) if group[j] == g and j != i]
@@ -359,3 +359,33 @@ def test_components_and_types(spark):
     labels = spark.createDataFrame([(0, 0), (1, 0), (2, 0), (3, 1), (4, 1), (5, 1)], "node long, label long")
     assert dict(rows(graph.components(edges, labels), "node", "component")) == {0: 0, 1: 0, 2: 0, 3: 0, 4: 0, 5: 5}
     assert rows(graph.type_components(edges, labels), "label", "n_nodes", "n_components", "largest_share") == [(0, 3, 1, 1.0), (1, 3, 2, pytest.approx(2 / 3))]
+
+
+def test_selection_ranks_by_six_indices_and_chooses_the_planted_partition(spark):
+    from nodeloom.operators import selection
+
+    rng = np.random.default_rng(8)
+    truth = np.arange(90) % 3
+    x = rng.standard_normal((90, 2)) * 0.3 + np.array([[0, 0], [5, 0], [0, 5]])[truth]
+    v = spark.createDataFrame([(i, r.tolist()) for i, r in enumerate(x)], "node long, x array<double>")
+    pairs_ = [(i, j, 1.0) for i in range(90) for j in range(i) if truth[i] == truth[j] and rng.random() < 0.3 or rng.random() < 0.01]
+    edges = edge_frame(spark, pairs_)
+    frame = lambda name, values: [(name, i, int(c)) for i, c in enumerate(values)]
+    labels = spark.createDataFrame(frame("true", truth) + frame("random", rng.integers(0, 3, 90)) + frame("lump", np.arange(90) > 5), "candidate string, node long, label long")
+    found = {r["candidate"]: r for r in selection.evaluate(labels, v, edges).collect()}
+    for name in ("true", "random"):
+        own = labels.where(F.col("candidate") == name).select("node", "label")
+        with_x = v.join(own, "node")
+        assert found[name]["ch"] == pytest.approx(indices.calinski_harabasz(with_x).first()[0]) and found[name]["s_dbw"] == pytest.approx(indices.s_dbw(with_x).first()[0])
+        assert found[name]["sw"] == pytest.approx(indices.silhouette(with_x).agg(F.avg("sw")).first()[0])
+        row = indices.network_indices(edges, own).first()
+        assert [found[name][c] for c in ("avi", "avu", "mq")] == pytest.approx([row["avi"], row["avu"], row["mq"]])
+    assert [r["candidate"] for r in selection.ranked(selection.evaluate(labels, v, edges), 90, 24).orderBy("borda_place").collect()] == ["true", "random"]
+    grid = selection.grid(spark, [3], ["net"], [1.0], ["cosine"], [1.0], ("kmeans", "ward"))
+    assert grid.count() == 6 and grid.where("candidate = 'kefrin|net|k3|cosine|x1.0'").count() == 1
+
+    def cluster(row, some, seed):
+        return selection.labels_of(row, some, {"net": graph.restrict(edges, some)}, runs=2)
+
+    table, best = selection.select(grid.where("method IN ('kmeans', 'ward')"), cluster, v, {"net": edges}, "net", top=1, runs=2)
+    assert best.first()["stability"] == pytest.approx(1.0) and table.where("stability IS NOT NULL").count() == 1
