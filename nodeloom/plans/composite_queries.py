@@ -53,7 +53,7 @@ def _labour_sql() -> str:
     return _LABOUR.replace("__MEAN__", ORACLES["annual_mean"]).replace("__RETAIL__", ORACLES["retail_objects"]).replace("__URBAN__", ORACLES["urban_share"])
 
 
-LABOUR_COLUMNS = "population:5 goods services trade unallocated modern_share retail_per_1000 share_urban"
+LABOUR_COLUMNS = "population:2 goods services trade unallocated modern_share retail_per_1000 share_urban"
 
 
 @query(f"SELECT * FROM {_labour_sql()}", LABOUR_COLUMNS)
