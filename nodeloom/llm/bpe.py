@@ -139,9 +139,11 @@ class Transducer:
         return target
 
     def encode(self, piece: bytes) -> list[int]:
-        """The tokens of one whole piece."""
+        """The tokens of one whole piece, which is read in blocks: what is sure is emitted after each, so the states of a long piece are never held whole."""
         whole = self.v.ranks.get(piece)
-        return [whole] if whole is not None else list(itertools.chain.from_iterable(self.stream([piece])))
+        if whole is not None:
+            return [whole]
+        return list(itertools.chain.from_iterable(self.stream(piece[i : i + LOOKAHEAD] for i in range(0, len(piece), LOOKAHEAD))))
 
     def stream(self, blocks: Iterable[bytes]) -> Iterator[list[int]]:
         """Tokens of one piece given in blocks, each as soon as all surviving sequences share it."""
@@ -193,43 +195,64 @@ class Transducer:
         return self._depths[node]
 
 
+def _utf8_moves() -> list[list[int]]:
+    """The next state for each state and byte, after the definition of UTF-8.
+
+    State 0 stands between characters; 1, 2 and 3 await that many continuation bytes; 4 to 7 follow E0, ED, F0 and F4,
+    whose next byte has a range of its own; 8 is a byte that cannot stand there.
+    """
+    moves = [[8] * 256 for _ in range(9)]
+
+    def put(state: int, low: int, high: int, target: int) -> None:
+        moves[state][low : high + 1] = [target] * (high - low + 1)
+
+    put(0, 0x00, 0x7F, 0)
+    put(0, 0xC2, 0xDF, 1)
+    put(0, 0xE0, 0xEF, 2)
+    put(0, 0xF0, 0xF4, 3)
+    for lead, state, low, high, target in ((0xE0, 4, 0xA0, 0xBF, 1), (0xED, 5, 0x80, 0x9F, 1), (0xF0, 6, 0x90, 0xBF, 2), (0xF4, 7, 0x80, 0x8F, 2)):
+        put(0, lead, lead, state)
+        put(state, low, high, target)
+    for state in (1, 2, 3):
+        put(state, 0x80, 0xBF, state - 1)
+    return moves
+
+
+_UTF8 = _utf8_moves()
+
+
 class Utf8:
-    """An incremental UTF-8 state machine: what of the bytes so far is whole characters.
+    """An incremental UTF-8 decoder: text of complete characters out, the bytes of a character that has begun kept.
 
-    The state is the bytes of a character that has begun; `feed` gives the text of complete characters and keeps the
-    rest, malformed bytes become U+FFFD as in Python's "replace".
+    The state machine says where the last character begins and what it still awaits; it runs over the last three bytes
+    of a block at most, since what lies before them is whole characters. Malformed bytes become U+FFFD as in Python's
+    "replace".
     """
 
     def __init__(self) -> None:
-        self.rest = b""
-
-    @staticmethod
-    def _open(data: bytes) -> int:
-        """How many bytes at the end belong to a character that further bytes may complete."""
-        for back in range(1, min(3, len(data)) + 1):
-            byte = data[-back]
-            if byte & 0xC0 == 0x80:
-                continue
-            need = 2 if 0xC2 <= byte <= 0xDF else 3 if byte & 0xF0 == 0xE0 else 4 if 0xF0 <= byte <= 0xF4 else 1
-            if need <= back:
+        self.rest, self.state = b"", 0
+
+    def _enter(self, data: bytes) -> int:
+        """Set the state after `data`; how many bytes at its end belong to a character that further bytes may complete."""
+        back = 1
+        while back < min(4, len(data)) and data[-back] & 0xC0 == 0x80:
+            back += 1
+        self.state = 0
+        for byte in data[-back:] if data else b"":
+            self.state = _UTF8[self.state][byte]
+            if self.state == 8:
+                self.state = 0
                 return 0
-            if back > 1:
-                second, low, high = data[-back + 1], 0x80, 0xBF
-                low = {0xE0: 0xA0, 0xF0: 0x90}.get(byte, low)
-                high = {0xED: 0x9F, 0xF4: 0x8F}.get(byte, high)
-                if not low <= second <= high:
-                    return 0
-            return back
-        return 0
+        return back if self.state else 0
 
     def feed(self, data: bytes) -> str:
         data = self.rest + data
-        cut = len(data) - self._open(data)
+        cut = len(data) - self._enter(data)
         self.rest = data[cut:]
         return data[:cut].decode("utf-8", "replace")
 
     def end(self) -> str:
-        out, self.rest = self.rest.decode("utf-8", "replace"), b""
+        out, self.rest, self.state = self.rest.decode("utf-8", "replace"), b"", 0
         return out
 
 

@@ -202,7 +202,15 @@ def test_bpe_streams_long_pieces(own, library):
         blocks = [piece.encode()[i : i + 37] for i in range(0, len(piece.encode()), 37)]
         parts = list(own.t.stream(blocks))
         assert sum(parts, []) == library.encode_ordinary(piece)
+        assert own.t.encode(piece.encode()) == library.encode_ordinary(piece)
     assert len(list(own.t.stream([b"ab" * 400] * 9))) > 1
+    held = []
+    own.t._back, back = lambda ends, at: (held.append(len(ends)), back(ends, at))[1], own.t._back
+    try:
+        own.t.encode(b"ab" * 40_000)
+    finally:
+        del own.t._back
+    assert max(held) <= 4 * bpe.LOOKAHEAD  # no more of a long piece is held than a lookahead and a block
 
 
 def test_utf8_machine_replaces_like_python():
