@@ -5,8 +5,9 @@ same shingles within BITS bits, found by the deletion-variant index, propose pai
 join is not compared again. Pairs further apart than any indexable radius are found exactly: with shingles in one order,
 rare ones first, two such sets share a shingle among the first n - ceil(4 n / 5) + 1 of each, so an equality join on
 those finds every pair, and the sets verify it. The order comes from SLOTS counters of hashed shingles: any order gives
-the same pairs, a rare-first one gives few candidates. Where many sets share a shingle, PIVOTS of them at a time are
-compared with all others that are not yet in their component, until all pairs are compared or joined; none is left out.
+the same pairs, a rare-first one gives few candidates. Where many sets share a shingle, PIVOTS of them, those of the
+least components first, are compared with all others that are not yet in their component, and leave; each round takes
+twice as many, until those left are one component. Every pair is compared or joined by then; none is left out.
 """
 
 from __future__ import annotations
@@ -136,9 +137,9 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     prefixes = _prefixes(sets, _levels(sets)).groupBy("key", "node").agg(F.min("size").alias("size"), F.min("place").alias("place"))
     by_key = Window.partitionBy("key")
     members = _open(prefixes, groups, by_key)
-    done = 0
+    pivots = PIVOTS
     while not members.isEmpty():
-        left = members.where(F.col("rank").between(done, done + PIVOTS - 1)).select("key", *[F.col(c).alias(f"{c}_a") for c in ("node", "size", "place", "rank", "component")])
+        left = members.where(F.col("rank") < pivots).select("key", *[F.col(c).alias(f"{c}_a") for c in ("node", "size", "place", "rank", "component")])
         # at the first shingle that a pair shares, what both have left from there on must suffice
         candidates = materialize(
             left.join(members, "key")
@@ -150,9 +151,9 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
         edges = edges.unionByName(_verified(candidates, sets))
         discard(candidates)
         groups = connected_components(edges, "a", "b")
-        done += PIVOTS
-        before, members = members, _open(members.where(f"n > {done + 1}").drop("component"), groups, by_key)
+        before, members = members, _open(members.where(F.col("rank") >= pivots).drop("component", "rank"), groups, by_key)
         discard(before)
+        pivots *= 2
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row_key"))
     nodes = sets.groupBy("node").agg(first.alias("first"))
     labelled = materialize(nodes.join(groups, "node", "left").select("node", "first", F.coalesce("component", "node").alias("component")), "labels")
@@ -164,12 +165,11 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def _open(members: DataFrame, groups: DataFrame, by_key) -> DataFrame:
-    """The rows of `members` with their components, of those keys that more than one component shares; at first with n and rank in their key."""
+    """The rows of `members` with component and rank, of those keys that more than one component shares; least components come first."""
     now = members.join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    if "n" not in members.columns:
-        now = now.withColumn("n", F.count(F.lit(1)).over(by_key)).withColumn("rank", F.row_number().over(by_key.orderBy("node")) - 1)
-    now = now.withColumn("low", F.min("component").over(by_key)).withColumn("high", F.max("component").over(by_key))
-    return materialize(now.where("low < high").select("key", "node", "size", "place", "n", "rank", "component"), "members")
+    now = now.withColumn("low", F.min("component").over(by_key)).withColumn("high", F.max("component").over(by_key)).where("low < high")
+    now = now.withColumn("mine", F.count(F.lit(1)).over(Window.partitionBy("key", "component")))
+    return materialize(now.withColumn("rank", F.row_number().over(by_key.orderBy("mine", "node")) - 1).select("key", "node", "size", "place", "rank", "component"), "members")
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
