@@ -150,15 +150,15 @@ def match_partitions(spark, sf):
 @query()
 def select_partition(spark, sf):
     """A grid of all families over two networks, six indices, ranks, the stability of the leading
-    two by five subsamples each, and which of them is chosen. Grid and counts are smaller than a full study's."""
+    one by three subsamples, and which of them is chosen. Grid and counts are smaller than a full study's."""
     vectors = S.vectors(spark, sf)
     networks = {"all": checkpointed(gq.knn(spark, sf)), "label": checkpointed(gq.knn(spark, sf, 5, True))}
     codes = vectors.select("node", C.pair_codes(F.col("x"), 4).alias("codes"))
-    candidates = selection.grid(spark, [4, 6], ["all"], [1.0], ["cosine"], [1.0, 4.0], ("kmeans", "ward", "pattern"))
+    candidates = selection.grid(spark, [4], ["all"], [1.0], ["cosine"], [1.0, 4.0], ("kmeans", "ward", "pattern"))
 
     def cluster(row, some, seed):
         known = selection.restricted(networks, some)
         return selection.labels_of(row, some, known, codes.join(some.select("node"), "node", "left_semi"), known["label"], runs=2)
 
-    table, best = selection.select(candidates, cluster, vectors, networks, "all", top=2, runs=5, least=-1.0)
+    table, best = selection.select(candidates, cluster, vectors, networks, "all", top=1, runs=3, least=-1.0)
     return table.join(best.select("candidate", F.lit(True).alias("chosen")), "candidate", "left").withColumn("chosen", F.coalesce("chosen", F.lit(False)))
