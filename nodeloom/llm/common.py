@@ -40,10 +40,13 @@ WRITING = {"spark.sql.classic.shuffleDependency.fileCleanup.enabled": "true", "s
 
 
 @contextlib.contextmanager
-def tidy_writes(spark: SparkSession) -> Iterator[None]:
-    """The settings of WRITING, for what runs within."""
-    before = {key: spark.conf.get(key) for key in WRITING}
-    for key, value in WRITING.items():
+def tidy_writes(spark: SparkSession, tasks: int | None = None) -> Iterator[None]:
+    """The settings of WRITING, for what runs within, and shuffles of `tasks` partitions where that is fewer than usual."""
+    now = dict(WRITING)
+    if tasks is not None:
+        now["spark.sql.shuffle.partitions"] = str(max(1, min(tasks, int(spark.conf.get("spark.sql.shuffle.partitions")))))
+    before = {key: spark.conf.get(key) for key in now}
+    for key, value in now.items():
         spark.conf.set(key, value)
     try:
         yield
@@ -52,10 +55,13 @@ def tidy_writes(spark: SparkSession) -> Iterator[None]:
             spark.conf.set(key, value)
 
 
-def materialize(df: DataFrame, tag: str, compression: str = "zstd") -> DataFrame:
-    """Write `df` to the shared folder and read it back: lineage ends in files that outlive any executor."""
+def materialize(df: DataFrame, tag: str, compression: str = "zstd", tasks: int | None = None) -> DataFrame:
+    """Write `df` to the shared folder and read it back: lineage ends in files that outlive any executor.
+
+    `tasks`, where the caller knows how many rows move, keeps small shuffles from being dealt over many tasks.
+    """
     path = fresh_path(df.sparkSession, tag)
-    with tidy_writes(df.sparkSession):
+    with tidy_writes(df.sparkSession, tasks):
         df.write.option("compression", compression).parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out.nodeloom_path = path

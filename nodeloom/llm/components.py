@@ -1,7 +1,8 @@
 """Connected components of an edge table by alternating large-star and small-star steps.
 
 Every round is two aggregations and two equi-joins; the number of rounds is logarithmic. Between rounds the edges
-are written to the shared folder, so lineage stays short and a lost executor costs one round at most.
+are written to the shared folder, so lineage stays short and a lost executor costs one round at most. A round uses a
+task for each EDGES_A_TASK edges, as far as there are shuffle partitions: few edges need few tasks.
 """
 
 from __future__ import annotations
@@ -11,6 +12,8 @@ from pyspark.sql import functions as F
 
 from .common import discard, materialize
 
+EDGES_A_TASK = 100_000
+
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
     """edges (u, v) with u > v. Link, for each node, its larger (or smaller) neighbours and itself to its least neighbour."""
@@ -39,11 +42,14 @@ def connected_components(edges: DataFrame, a: str, b: str) -> DataFrame:
     mark = lambda df: df.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
     before = mark(now)
     while before[0]:
-        after = materialize(_star(_star(now, True), False), "edges")
+        after = materialize(_star(_star(now, True), False), "edges", tasks=1 + before[0] // EDGES_A_TASK)
         discard(now)
         now, seen = after, mark(after)
         if seen == before:
             break
         before = seen
     roots = now.select(F.col("u").alias("node"), F.col("v").alias("component"))
-    return roots.unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+    both = roots.unionByName(now.select(F.col("v").alias("node"), F.col("v").alias("component")).distinct())
+    out = materialize(both, "components", tasks=1 + before[0] // EDGES_A_TASK)
+    discard(now)
+    return out

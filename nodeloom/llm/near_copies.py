@@ -26,6 +26,8 @@ from .components import connected_components
 
 BITS = 3
 WORDS, SLOTS, PIECE, PIVOTS, LANES = 5, 1 << 20, 1024, 64, 8
+#: Rows that a task of a shuffle gets where their number is known: members of keys, comparisons, pairs with their sets.
+MEMBERS_A_TASK, COMPARED_A_TASK, PAIRS_A_TASK = 100_000, 500_000, 100
 
 
 def _lists(found: list[np.ndarray]) -> pa.ListArray:
@@ -118,7 +120,8 @@ def _verified(candidates: DataFrame, sets: DataFrame) -> DataFrame:
     left = needed.select(F.col("node").alias("a"), F.col("shingles").alias("x"))
     right = needed.select(F.col("node").alias("b"), F.col("shingles").alias("y"))
     both = F.size(F.array_intersect("x", "y"))
-    out = materialize(candidates.join(left, "a").join(right, "b").where(9 * both >= 4 * (F.size("x") + F.size("y"))).select("a", "b"), "near-pairs")
+    pairs = candidates.join(left, "a").join(right, "b").where(9 * both >= 4 * (F.size("x") + F.size("y"))).select("a", "b")
+    out = materialize(pairs, "near-pairs", tasks=1 + candidates.count() // PAIRS_A_TASK)
     discard(needed)
     return out
 
@@ -132,13 +135,16 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     row's place). An empty table gives no rows.
     """
     sets = materialize(shingle_sets(docs, id_col, text_col, key_col=key_col), "shingle-sets")
-    edges = _verified(materialize(_proposed(sets), "proposed"), sets)
+    proposed = materialize(_proposed(sets), "proposed")
+    edges = _verified(proposed, sets)
     groups = connected_components(edges, "a", "b")
+    for done in (proposed, edges):
+        discard(done)
     prefixes = _prefixes(sets, _levels(sets)).groupBy("key", "node").agg(F.min("size").alias("size"), F.min("place").alias("place"))
     by_key = Window.partitionBy("key")
     members = _open(prefixes, groups, by_key)
     pivots = PIVOTS
-    while not members.isEmpty():
+    while rows := members.count():
         left = members.where(F.col("rank") < pivots).select("key", *[F.col(c).alias(f"{c}_a") for c in ("node", "size", "place", "rank", "component")])
         # at the first shingle that a pair shares, what both have left from there on must suffice
         candidates = materialize(
@@ -147,12 +153,17 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
             .select(F.least("node", "node_a").alias("a"), F.greatest("node", "node_a").alias("b"))
             .distinct(),
             "candidates",
+            tasks=1 + rows * pivots // COMPARED_A_TASK,
         )
-        edges = edges.unionByName(_verified(candidates, sets))
+        edges = _verified(candidates, sets)
         discard(candidates)
-        groups = connected_components(edges, "a", "b")
-        before, members = members, _open(members.where(F.col("rank") >= pivots).drop("component", "rank"), groups, by_key)
-        discard(before)
+        # what was linked before is a star for each component by now: only those and the new pairs are joined
+        stars = groups.select(F.col("component").alias("a"), F.col("node").alias("b"))
+        older, groups = groups, connected_components(stars.unionByName(edges), "a", "b")
+        waiting = members.where(F.col("rank") >= pivots).drop("component", "rank")
+        before, members = members, _open(waiting, groups, by_key, 1 + rows // MEMBERS_A_TASK)
+        for done in (before, older, edges):
+            discard(done)
         pivots *= 2
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "row_key"))
     nodes = sets.groupBy("node").agg(first.alias("first"))
@@ -164,12 +175,12 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return out
 
 
-def _open(members: DataFrame, groups: DataFrame, by_key) -> DataFrame:
+def _open(members: DataFrame, groups: DataFrame, by_key, tasks: int | None = None) -> DataFrame:
     """The rows of `members` with component and rank, of those keys that more than one component shares; least components come first."""
     now = members.join(groups, "node", "left").withColumn("component", F.coalesce("component", "node"))
     now = now.withColumn("low", F.min("component").over(by_key)).withColumn("high", F.max("component").over(by_key)).where("low < high")
     now = now.withColumn("mine", F.count(F.lit(1)).over(Window.partitionBy("key", "component")))
-    return materialize(now.withColumn("rank", F.row_number().over(by_key.orderBy("mine", "node")) - 1).select("key", "node", "size", "place", "rank", "component"), "members")
+    return materialize(now.withColumn("rank", F.row_number().over(by_key.orderBy("mine", "node")) - 1).select("key", "node", "size", "place", "rank", "component"), "members", tasks=tasks)
 
 
 def drop_near_copies(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
