@@ -112,8 +112,7 @@ def two_level_mean(spark, sf):
 @query(f"SELECT node, avg(w) AS value FROM (SELECT node, year, sum(weight_ * value) / sum(weight_) AS w FROM (SELECT *, CASE WHEN event_id % 5 = 0 THEN 1 ELSE weight END AS weight_ FROM {EAV} WHERE code = 'click' AND value IS NOT NULL) GROUP BY ALL) GROUP BY node", "value")
 def weighted_mean(spark, sf):
     """D3: weighted within a year, then averaged; a missing weight counts as 1."""
-    rows = eav(spark, sf).where("code = 'click'").withColumn("weight", F.when(F.col("event_id") % 5 != 0, F.col("weight")))
-    return records.weighted_mean(rows, "node", "year", "value", "weight")
+    return records.weighted_mean(eav(spark, sf).where("code = 'click'"), "node", "year", "value", "weight", F.col("event_id") % 5 == 0)
 
 
 @query(

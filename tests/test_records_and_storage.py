@@ -77,6 +77,26 @@ def test_versions_fall_back_and_say_so(spark):
     )
 
 
+def test_weighted_mean_equals_its_sql_on_zero_and_null_weights(spark, tmp_path):
+    import datetime
+    import math
+
+    import duckdb
+
+    from nodeloom.plans import catalogue
+
+    day = lambda d: datetime.datetime(2024, 1, d)
+    cells = [(1, 1, 0.0), (2, 1, 2.0), (7, 2, None), (3, 2, 3.0), (6, 3, None), (10, 4, None), (11, 4, 1.0), (12, 5, 0.5)]
+    events = [(e, day(1 + e % 3), n, "click", w, '{"k": %d}' % (e * 7)) for e, n, w in cells]
+    spark.createDataFrame(events, "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string").write.parquet(str(tmp_path / "events.parquet"))
+    got = {r["node"]: r["value"] for r in catalogue.QUERIES["weighted_mean"](spark, str(tmp_path)).collect()}
+    db = duckdb.connect()
+    db.execute(f"CREATE VIEW events AS SELECT * FROM '{tmp_path}/events.parquet/*.parquet'")
+    want = {r[0]: r[1] for r in db.execute(f"SELECT node, value FROM ({catalogue.ORACLES['weighted_mean']})").fetchall()}
+    assert repr(sorted(got.items())) == repr(sorted(want.items()))
+    assert math.isnan(got[1]) and got[3] is None and got[2] == 21
+
+
 def test_sums_with_a_least_count(spark):
     df = spark.createDataFrame([(1.0, 2.0, None), (None, None, 3.0), (None, None, None)], "a double, b double, c double")
     assert [r[0] for r in df.select(records.min_count_sum(["a", "b", "c"], 2)).collect()] == [3.0, None, None]
