@@ -325,6 +325,21 @@ def test_modularity_equals_its_definition():
     assert stats.weighted_modularity(labels, src, dst, w) == pytest.approx(((a - np.outer(k, k) / m2) * (labels[:, None] == labels)).sum() / m2)
 
 
+def test_warped_similarity_keeps_no_table_of_pairs(spark, monkeypatch):
+    rng = np.random.default_rng(14)
+    x = {i: rng.standard_normal(6 if i < 9 else 7) for i in range(15)}
+    kept = []
+    held = stats.checkpointed
+    monkeypatch.setattr(stats, "checkpointed", lambda df: kept.append(df.count()) or held(df))
+    found = stats.dtw_similarity(spark.createDataFrame([(i, v.tolist()) for i, v in x.items()], "node long, x array<double>"))
+    z = {i: (v - v.mean()) / v.std(ddof=1) for i, v in x.items()}
+    d = {(i, j): stats.dtw(z[i][None], z[j][None])[0, 0] for i in x for j in x if i < j and len(x[i]) == len(x[j])}
+    scale = np.median(list(d.values()))
+    want = {p: math.exp(-v / scale) for (i, j), v in d.items() for p in ((i, j), (j, i))}
+    assert {(r["src"], r["dst"]): r["weight"] for r in found.collect()} == pytest.approx(want)
+    assert max(kept) <= len(x)
+
+
 def test_warping_distance():
     a = np.array([0.0, 1.0, 2.0, 1.0, 0.0, 0.0])
     far = lambda x, y, *w: float(stats.dtw(x[None], y[None], *w)[0, 0])
