@@ -315,6 +315,36 @@ def test_ward_merges_the_cheapest_first():
     assert len(set(clustering.ward_labels(x, 1))) == 1 and len(set(clustering.ward_labels(x, 5))) == 5
 
 
+def _ward_by_hand(x, k):
+    parts = [[i] for i in range(len(x))]
+    sse = lambda p: ((x[p] - x[p].mean(axis=0)) ** 2).sum()
+    while len(parts) > k:
+        _, i, j = min((sse(a + b) - sse(a) - sse(b), i, j) for i, a in enumerate(parts) for j, b in enumerate(parts) if i < j)
+        parts = [p for m, p in enumerate(parts) if m not in (i, j)] + [parts[i] + parts[j]]
+    return parts
+
+
+def test_ward_equals_plain_merging_with_copies():
+    rng = np.random.default_rng(15)
+    x = rng.standard_normal((40, 3))
+    x[30:] = x[3]
+    for k in (1, 2, 5, 30):
+        labels = clustering.ward_labels(x, k, cells=64)
+        assert {tuple(np.flatnonzero(labels == g)) for g in set(labels)} == {tuple(sorted(p)) for p in _ward_by_hand(x, k)}
+
+
+def test_methods_on_the_driver_take_more_than_twenty_thousand_nodes(spark):
+    n = 20_400
+    nodes = spark.range(n).select(F.col("id").alias("node"), F.array(F.pmod("id", F.lit(3)).cast("double") * 10, F.sin("id") * 1e-3).alias("x"))
+    step = lambda d: spark.range(n).select(F.col("id").alias("src"), F.pmod(F.col("id") + d, F.lit(n)).alias("dst"), F.lit(1.0).alias("weight"))
+    edges = step(3).unionByName(step(n - 3)).unionByName(step(1).where("src = 0 or src = 1")).unionByName(step(n - 1).where("dst = 0 or dst = 1"))
+    for method in ("ward", "leiden", "kefrin"):
+        found = clustering.run(method, nodes, 3, edges, **({"runs": 1} if method == "kefrin" else {}))
+        assert found.count() == n
+    ward = clustering.run("ward", nodes, 3).groupBy("label").agg(F.countDistinct(F.pmod("node", F.lit(3))).alias("k"), F.count("node").alias("n")).collect()
+    assert [(r["k"], r["n"]) for r in ward] == [(1, n // 3)] * 3
+
+
 def test_modularity_equals_its_definition():
     _, src, dst = block_graph(np.random.default_rng(12), 60, 3, 0.3, 0.05)
     w = np.ones(len(src))
