@@ -13,6 +13,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import itertools
+from array import array
 from collections.abc import Iterable, Iterator
 
 import numpy as np
@@ -22,8 +23,11 @@ import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import remembered
+
 ROOT, STATES, PIECES, MEMORY, LOOKAHEAD = 0, 200_000, 100_000, 400_000, 256
 _FAR = 1 << 60
+_NODE = (1 << 32) - 1
 
 
 def parse_ranks(data: bytes) -> dict[bytes, int]:
@@ -97,7 +101,10 @@ class Vocabulary:
 
 
 class Transducer:
-    """Bytes in, tokens out. State sets are built when first met and forgotten together when STATES are exceeded."""
+    """Bytes in, tokens out. State sets are built when first met and forgotten together when STATES are exceeded.
+
+    A set is kept as the bytes of its pairs in order, eight a pair: the token before (or -1) above the trie node.
+    """
 
     def __init__(self, vocabulary: Vocabulary):
         self.v = vocabulary
@@ -105,7 +112,7 @@ class Transducer:
         self._reset()
 
     def _reset(self) -> None:
-        self.sets: list[tuple[tuple[int, int], ...]] = [((-1, ROOT),)]
+        self.sets: list[bytes] = [array("q", [-1 << 32 | ROOT]).tobytes()]
         self.number = {self.sets[0]: 0}
         self.moves: dict[int, int] = {}
         self.last = [-1]  # of each state: the token that ends its prefix
@@ -113,11 +120,12 @@ class Transducer:
 
     def _step(self, state: int, byte: int) -> int:
         v, out, ends = self.v, [], -1
-        for before, node in self.sets[state]:
+        for pair in memoryview(self.sets[state]).cast("q"):
+            before, node = pair >> 32, pair & _NODE
             child = v.trie.get(node << 8 | byte)
             if child is None:
                 continue
-            out.append((before, child))
+            out.append(before << 32 | child)
             token = v.token_at[child]
             if token >= 0 and ends < 0:
                 key = before << 20 | token if before >= 0 else -1
@@ -128,7 +136,7 @@ class Transducer:
                     fits = self._pairs[key] = v.adjacent(before, token)
                 if fits:
                     ends = token
-        found = (*sorted(out), (ends, ROOT))
+        found = array("q", [*sorted(out), ends << 32 | ROOT]).tobytes()
         target = self.number.get(found)
         if target is None:
             target = self.number[found] = len(self.sets)
@@ -176,7 +184,8 @@ class Transducer:
     def _agreed(self, state: int, ends: list[int]) -> list[int]:
         """The tokens that every surviving sequence has in common, from the start."""
         starts = {len(ends)}
-        for _, node in self.sets[state]:
+        for pair in memoryview(self.sets[state]).cast("q"):
+            node = pair & _NODE
             if node != ROOT:
                 starts.add(len(ends) - self._depth(node))
         chains = [self._back(ends, at) for at in starts]
@@ -433,16 +442,14 @@ class Codec:
         yield machine.end()
 
 
-_CODECS: dict[tuple[str, str], Codec] = {}
-
-
 def codec(data: bytes, pattern: str) -> Codec:
     """One codec for each vocabulary and Python worker."""
     key = (hashlib.sha256(data).hexdigest(), pattern)
-    if key not in _CODECS:
-        _CODECS.clear()
-        _CODECS[key] = Codec(data, pattern)
-    return _CODECS[key]
+    kept = remembered("bpe")
+    if key not in kept:
+        kept.clear()
+        kept[key] = Codec(data, pattern)
+    return kept[key]
 
 
 def read_vocabulary(path: str) -> bytes:

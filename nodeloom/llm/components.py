@@ -1,18 +1,23 @@
 """Connected components of an edge table by alternating large-star and small-star steps.
 
-Every round is two aggregations and two equi-joins; the number of rounds is logarithmic. Between rounds the edges
+Up to ONE_TASK edges of whole-number nodes are joined by one task, whose bound does not grow with the data; beyond that,
+every round is two aggregations and two equi-joins; the number of rounds is logarithmic. Between rounds the edges
 are written to the shared folder, so lineage stays short and a lost executor costs one round at most. A round uses a
 task for each EDGES_A_TASK edges, as far as there are shuffle partitions: few edges need few tasks.
 """
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .common import discard, materialize
 
-EDGES_A_TASK = 100_000
+EDGES_A_TASK, ONE_TASK = 100_000, 250_000
 
 
 def _star(edges: DataFrame, large: bool) -> DataFrame:
@@ -28,6 +33,28 @@ def _star(edges: DataFrame, large: bool) -> DataFrame:
     return moved.where("u <> v").select(F.greatest("u", "v").alias("u"), F.least("u", "v").alias("v")).distinct()
 
 
+def least_reachable(u: np.ndarray, v: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The nodes of edges (u, v), in order, and the least node that each reaches."""
+    nodes, at = np.unique(np.concatenate([u, v]), return_inverse=True)
+    a, b = at[: len(u)], at[len(u) :]
+    root = np.arange(len(nodes))
+    while (root[a] != root[b]).any():
+        # the greater root of each edge hangs below the least one that it meets, then all nodes go up to their roots
+        np.minimum.at(root, np.maximum(root[a], root[b]), np.minimum(root[a], root[b]))
+        while (up := root[root]).tobytes() != root.tobytes():
+            root = up
+    return nodes, nodes[root]
+
+
+def _in_one_task(edges: DataFrame) -> DataFrame:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rows = pa.Table.from_batches(list(batches), pa.schema([("u", pa.int64()), ("v", pa.int64())]))
+        found = least_reachable(rows.column("u").to_numpy(), rows.column("v").to_numpy())
+        yield pa.record_batch([pa.array(x) for x in found], names=["node", "component"])
+
+    return edges.coalesce(1).mapInArrow(run, "node long, component long")
+
+
 def connected_components(edges: DataFrame, a: str, b: str) -> DataFrame:
     """(node, component) for every node that has an edge to another; component is the least node reachable.
 
@@ -40,6 +67,10 @@ def connected_components(edges: DataFrame, a: str, b: str) -> DataFrame:
         "edges",
     )
     mark = lambda df: df.agg(F.count(F.lit(1)), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))).first()
+    if dict(now.dtypes) == {"u": "bigint", "v": "bigint"} and now.count() <= ONE_TASK:
+        out = materialize(_in_one_task(now), "components")
+        discard(now)
+        return out
     before = mark(now)
     while before[0]:
         after = materialize(_star(_star(now, True), False), "edges", tasks=1 + before[0] // EDGES_A_TASK)

@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import simhash
-from .common import chosen, discard, materialize, row_keys
+from .common import chosen, discard, materialize, remembered, row_keys
 from .components import connected_components
 
 BITS = 3
@@ -39,6 +39,7 @@ def shingle_sets(docs: DataFrame, id_col: str, text_col: str, words: int = WORDS
     """doc_id, row_key, node (a hash of the set), fp (the SimHash) and the set, for every row; texts of one set are one node."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        remembered("near_copies")
         for batch in batches:
             for start in range(0, len(batch), 1024):
                 some = batch.slice(start, 1024)

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import chosen, fold, materialize, row_keys
+from .common import chosen, fold, materialize, remembered, row_keys
 
 FEATURES, BINS, RIDGE, WIDTH, SEED = 256, 2048, 0.1, 8.0, 20240229
 #: Documents with this calibrated score or more are accepted.
@@ -103,6 +103,7 @@ def document_statistics(docs: DataFrame, id_col: str, text_col: str, key_col: st
     kind = docs.schema[id_col].dataType.simpleString()
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        remembered("quality")
         for batch in batches:
             found = [statistics(x.as_py()) for x in batch.column(1)]
             flat = pa.array(np.concatenate(found) if found else np.zeros(0))

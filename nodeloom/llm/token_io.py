@@ -27,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from .bpe import ChunkTable, slices
-from .common import discard, fresh_path, materialize, tidy_writes
+from .common import discard, fresh_path, materialize, remembered, tidy_writes
 
 SCALE, LANES, STEPS, LOW = 20, 2048, 128, 1 << 31
 #: Ids that fill a block; one document is never cut, so a longer one has a block of its own.
@@ -165,14 +165,12 @@ class LibraryTokenizer:
         return self.table.batch(texts, [self.by_chunk and not any(a in x for a in self.added) for x in texts])
 
 
-_TOKENIZERS: dict[int, LibraryTokenizer] = {}
-
-
 def _tokenizer(data: bytes) -> LibraryTokenizer:
     key = zlib.crc32(data)
-    if key not in _TOKENIZERS:
-        _TOKENIZERS[key] = LibraryTokenizer(data)
-    return _TOKENIZERS[key]
+    kept = remembered("token_io")
+    if key not in kept:
+        kept[key] = LibraryTokenizer(data)
+    return kept[key]
 
 
 def _encode(docs: DataFrame, data: bytes, end_id: int, id_col: str, text_col: str) -> DataFrame:

@@ -1,12 +1,15 @@
 """The cover tree against brute force, components, and the pipeline stage by stage."""
 
 import collections
+import weakref
 
 import numpy as np
+import public_tokenizers
 import pytest
 from pyspark.sql import functions as F
 
-from nodeloom.llm import covertree, mixing
+from nodeloom.llm import bpe, components, covertree, mixing
+from nodeloom.llm.common import remembered
 from nodeloom.llm.components import connected_components
 
 SCHEMA = "vec_id long, embedding array<float>, label int, node int, group string, n int"
@@ -76,6 +79,25 @@ def test_components_of_paths_stars_and_islands(spark):
     assert connected_components(spark.createDataFrame([], "a long, b long"), "a", "b").count() == 0
 
 
+def test_few_edges_are_joined_in_one_task_and_many_in_rounds(spark, monkeypatch):
+    rng = np.random.default_rng(3)
+    edges = spark.createDataFrame(rng.integers(-60, 60, (70, 2)).tolist(), "a long, b long")
+    found = lambda: sorted((r["node"], r["component"]) for r in connected_components(edges, "a", "b").collect())
+    with monkeypatch.context() as few:
+        few.setattr(components, "_star", None)
+        one = found()
+    monkeypatch.setattr(components, "ONE_TASK", 0)
+    assert one == found()
+
+
+def test_a_worker_lets_go_of_a_codec_when_another_operator_begins():
+    data = bpe.read_vocabulary(public_tokenizers.path("byte_bpe_50k.tiktoken"))
+    own = weakref.ref(bpe.codec(data, public_tokenizers.PATTERN))
+    assert bpe.codec(data, public_tokenizers.PATTERN) is own()
+    remembered("near_copies")
+    assert own() is None
+
+
 def test_pipeline_stages_keep_columns_and_clean_documents(spark, tmp_path):
     import corpus_pipeline
 
