@@ -28,6 +28,8 @@ BITS = 3
 WORDS, SLOTS, PIECE, PIVOTS, LANES = 5, 1 << 20, 1024, 64, 8
 #: Rows that a task of a shuffle gets where their number is known: members of keys, comparisons, pairs with their sets.
 MEMBERS_A_TASK, COMPARED_A_TASK, PAIRS_A_TASK = 100_000, 500_000, 100
+#: Candidates whose ends are sent to the sets; the ends of more meet the sets in a shuffle of both.
+SENT = 250_000
 
 
 def _lists(found: list[np.ndarray]) -> pa.ListArray:
@@ -117,12 +119,13 @@ def _prefixes(sets: DataFrame, levels: np.ndarray) -> DataFrame:
 def _verified(candidates: DataFrame, sets: DataFrame) -> DataFrame:
     """The pairs (a, b) whose sets share at least 4/5 of their union."""
     ends = candidates.select(F.col("a").alias("node")).unionByName(candidates.select(F.col("b").alias("node"))).distinct()
-    needed = materialize(sets.join(ends, "node", "left_semi").groupBy("node").agg(F.first("shingles").alias("shingles")), "sets-needed")
+    n = candidates.count()
+    needed = materialize(sets.join(F.broadcast(ends) if n <= SENT else ends, "node", "left_semi").groupBy("node").agg(F.first("shingles").alias("shingles")), "sets-needed")
     left = needed.select(F.col("node").alias("a"), F.col("shingles").alias("x"))
     right = needed.select(F.col("node").alias("b"), F.col("shingles").alias("y"))
     both = F.size(F.array_intersect("x", "y"))
     pairs = candidates.join(left, "a").join(right, "b").where(9 * both >= 4 * (F.size("x") + F.size("y"))).select("a", "b")
-    out = materialize(pairs, "near-pairs", tasks=1 + candidates.count() // PAIRS_A_TASK)
+    out = materialize(pairs, "near-pairs", tasks=1 + n // PAIRS_A_TASK)
     discard(needed)
     return out
 
@@ -141,9 +144,12 @@ def near_components(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     groups = connected_components(edges, "a", "b")
     for done in (proposed, edges):
         discard(done)
-    prefixes = _prefixes(sets, _levels(sets)).groupBy("key", "node").agg(F.min("size").alias("size"), F.min("place").alias("place"))
     by_key = Window.partitionBy("key")
+    # most shingles are those of one set: they go before anything is joined, in the one shuffle of all prefixes
+    shared = _prefixes(sets, _levels(sets)).withColumn("low", F.min("node").over(by_key)).withColumn("high", F.max("node").over(by_key)).where("low < high")
+    prefixes = materialize(shared.groupBy("key", "node").agg(F.min("size").alias("size"), F.min("place").alias("place")), "prefixes")
     members = _open(prefixes, groups, by_key)
+    discard(prefixes)
     pivots = PIVOTS
     while rows := members.count():
         left = members.where(F.col("rank") < pivots).select("key", *[F.col(c).alias(f"{c}_a") for c in ("node", "size", "place", "rank", "component")])
