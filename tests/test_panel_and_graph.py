@@ -492,3 +492,10 @@ def test_selection_ranks_by_six_indices_and_chooses_the_planted_partition(spark)
 
     table, best = selection.select(grid.where("method IN ('kmeans', 'ward')"), cluster, v, {"net": edges}, "net", top=1, runs=2)
     assert best.first()["stability"] == pytest.approx(1.0) and table.where("stability IS NOT NULL").count() == 1
+
+
+def test_yearly_comovement_sums_its_cells_once(spark):
+    from nodeloom.plans import composite_queries
+
+    found = composite_queries.yearly_comovement(spark, "/root/testdata/sf0.001")
+    assert not [f for f in found.inputFiles() if "lineitem" in f or "part.parquet" in f]
