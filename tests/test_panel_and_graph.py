@@ -499,3 +499,21 @@ def test_yearly_comovement_sums_its_cells_once(spark):
 
     found = composite_queries.yearly_comovement(spark, "/root/testdata/sf0.001")
     assert not [f for f in found.inputFiles() if "lineitem" in f or "part.parquet" in f]
+
+
+def test_community_strength_takes_all_null_graphs(spark, monkeypatch):
+    from nodeloom.plans import model_queries
+
+    drawn = []
+    permuted = stats._permuted
+    monkeypatch.setattr(stats, "_permuted", lambda session, seeds, *rest: drawn.append(seeds) or permuted(session, seeds, *rest))
+    found = model_queries.community_strength(spark, "/root/testdata/sf0.001").first()
+    assert drawn == [20] and found["excess"] > 0
+
+
+def test_communities_do_not_depend_on_the_order_of_edges():
+    _, src, dst = block_graph(np.random.default_rng(8), 180, 3, 0.2, 0.05)
+    w = np.random.default_rng(9).random(len(src) // 2).repeat(2).reshape(-1, 2).T.reshape(-1)
+    order = np.random.default_rng(10).permutation(len(src))
+    assert (clustering.modularity_labels(180, src, dst, w) == clustering.modularity_labels(180, src[order], dst[order], w[order])).all()
+    assert len(clustering.modularity_labels(4, src[:0], dst[:0], w[:0])) == 4 and len(clustering.modularity_labels(0, src[:0], dst[:0], w[:0])) == 0
