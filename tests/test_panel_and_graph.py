@@ -4,6 +4,7 @@ import math
 
 import numpy as np
 import pytest
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from nodeloom.functions import composition as C
@@ -517,3 +518,23 @@ def test_communities_do_not_depend_on_the_order_of_edges():
     order = np.random.default_rng(10).permutation(len(src))
     assert (clustering.modularity_labels(180, src, dst, w) == clustering.modularity_labels(180, src[order], dst[order], w[order])).all()
     assert len(clustering.modularity_labels(4, src[:0], dst[:0], w[:0])) == 4 and len(clustering.modularity_labels(0, src[:0], dst[:0], w[:0])) == 0
+
+
+def shuffle_files(spark):
+    held = spark.sparkContext._jsc.sc().env().blockManager().diskBlockManager().getAllFiles()
+    return {f for i in range(held.size()) if (f := held.apply(i).getName()).startswith("shuffle_")}
+
+
+def test_written_steps_leave_no_shuffle_files(spark):
+    from nodeloom.sources.storage import checkpointed
+
+    before = shuffle_files(spark)
+    held = checkpointed(spark.range(100).groupBy((F.col("id") % 10).alias("node")).agg(F.array(F.sum("id").cast("double"), F.max("id").cast("double")).alias("x")))
+    assert held.columns == ["node", "x"]
+    assert shuffle_files(spark) <= before
+
+
+def test_comovement_is_dealt_from_written_vectors(spark):
+    rows_ = spark.createDataFrame([(n, 1, c, float(n * c)) for n in range(4) for c in range(3)], "node long, year long, category long, u double").withColumn("period", F.lit(1)).withColumn("u", F.col("u") - F.avg("u").over(Window.partitionBy("node")))
+    plan = panel.comovement(rows_, ["year"])._jdf.queryExecution().optimizedPlan().toString()
+    assert "collect_list" not in plan and "Window" not in plan
