@@ -525,12 +525,13 @@ def shuffle_files(spark):
     return {f for i in range(held.size()) if (f := held.apply(i).getName()).startswith("shuffle_")}
 
 
-def test_written_steps_leave_no_shuffle_files(spark):
+def test_written_steps_and_passes_over_pairs_leave_no_shuffle_files(spark):
+    from nodeloom.operators import pairs
     from nodeloom.sources.storage import checkpointed
 
     before = shuffle_files(spark)
     held = checkpointed(spark.range(100).groupBy((F.col("id") % 10).alias("node")).agg(F.array(F.sum("id").cast("double"), F.max("id").cast("double")).alias("x")))
-    assert held.columns == ["node", "x"]
+    assert pairs.quantiles(held, [0.5])[0] == 45
     assert shuffle_files(spark) <= before
 
 
