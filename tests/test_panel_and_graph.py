@@ -539,3 +539,16 @@ def test_comovement_is_dealt_from_written_vectors(spark):
     rows_ = spark.createDataFrame([(n, 1, c, float(n * c)) for n in range(4) for c in range(3)], "node long, year long, category long, u double").withColumn("period", F.lit(1)).withColumn("u", F.col("u") - F.avg("u").over(Window.partitionBy("node")))
     plan = panel.comovement(rows_, ["year"])._jdf.queryExecution().optimizedPlan().toString()
     assert "collect_list" not in plan and "Window" not in plan
+
+
+def test_best_columns_are_the_top_of_all_rounded_cells_and_few_are_ordered(monkeypatch):
+    from nodeloom.operators import pairs
+
+    rng = np.random.default_rng(11)
+    spread, ties = rng.random((40, 1003)), rng.integers(0, 4, (40, 1003)) + rng.random((40, 1003)) * 1e-10
+    barred = np.where(rng.random((40, 1003)) < 0.995, -np.inf, spread)
+    cut = lambda r, c: sorted(zip(r.tolist(), c.tolist(), strict=True))
+    wanted = [[cut(*pairs.top_columns(np.round(w, 9), k)) for k in (1, 10, 64, 70)] for w in (spread, ties, barred)]
+    assert [[cut(*pairs.best_columns(w, k, 9)) for k in (1, 10, 64, 70)] for w in (spread, ties, barred)] == wanted
+    monkeypatch.setattr(pairs, "top_columns", None)  # not all cells are ordered
+    assert cut(*pairs.best_columns(spread, 10, 9)) == wanted[0][1]
